@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentora.llm.lm import lm_scores
+from mentora.llm.ngram_join import jaccard_components
 from mentora.llm.packing import pack_documents
 from mentora.llm.token_counts import token_counts
 from mentora.llm.token_files import token_table
@@ -23,12 +25,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"), fold=1)
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), end_id=0)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op8_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files)}
 
 
 def llm_oracle_sql() -> dict[str, str]:

@@ -102,7 +102,8 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         valid[last[last >= first[:-1]]] = False
     for row in np.flatnonzero((count > 0) & (count < size)):
         begin = first[row]
-        total[begin] = mix(count[row : row + 1].astype(np.uint64))[0] + (words[begin : first[row + 1]] * STEP[: count[row]]).sum()
+        own = words[begin : first[row + 1]] * STEP[: count[row]]
+        total[begin] = np.append(own, mix(count[row : row + 1].astype(np.uint64))).sum()
         valid[begin] = True
     return mix(total[valid]), out_at
 
