@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentora.llm.decontam import contamination
 from mentora.llm.lm import lm_scores
 from mentora.llm.ngram_join import jaccard_components
 from mentora.llm.packing import pack_documents
+from mentora.llm.quality import quality_scores
 from mentora.llm.token_counts import token_counts
 from mentora.llm.token_files import token_table
 
@@ -25,6 +27,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=0)
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), fold=1)
 
@@ -38,7 +48,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
