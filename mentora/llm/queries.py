@@ -12,6 +12,7 @@ from mentora.llm.lm import lm_scores
 from mentora.llm.media import encode_media, media_features
 from mentora.llm.ngram_join import jaccard_components
 from mentora.llm.packing import pack_documents
+from mentora.llm.pii import personal_data
 from mentora.llm.quality import quality_scores
 from mentora.llm.token_counts import token_counts
 from mentora.llm.token_files import token_table
@@ -62,8 +63,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turn_events(turns)))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files, op9_chat_formatting, op10_pii)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
