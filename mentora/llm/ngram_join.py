@@ -248,3 +248,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     least = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = owner.join(least, "component").select("node", "component_id")
     return base.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` that have the least doc_id of their group, with all their columns.
+
+    Rows that repeat a doc_id are one document, of which one row stays. Rows without doc_id stay.
+    """
+    groups = write_table(jaccard_components(docs, words, num, den), "groups")
+    extra = groups.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(extra.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_anti")
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
