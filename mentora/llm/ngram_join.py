@@ -26,8 +26,8 @@ from mentora.llm.storage import write_table
 from mentora.llm.words import distinct_rows, mix, shingle_hashes, text_slices, word_hashes
 
 BITMAP_BITS = 2048
-#: Sets compared pair by pair through a join at a meeting place; larger places are cut into blocks of this size.
-BLOCK = 64
+#: A meeting place with more sets is cut into blocks of about this size, and every two blocks are compared in a task.
+BLOCK = 2048
 #: Distinct sets that a task remembers in order to send each once.
 REMEMBERED = 1_000_000
 FILTER_BITS = 1 << 24
@@ -128,6 +128,47 @@ def _ids_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys in a sorted stream, each whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and any(held[-1].column(k)[0] != batch.column(k)[a] for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _close_pairs(tile: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of a tile from different components whose bitmaps allow enough overlap; between its two blocks, or within its one.
+
+    Of the places where both sets meet, only the first gives the pair."""
+    size, component, block, node = (tile.column(c).to_numpy() for c in ("size", "component", "own", "node"))
+    bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
+    within, here, places, out = bool(tile.column("i")[0] == tile.column("j")[0]), tile.column("key")[0].as_py(), {}, []
+
+    def first_place(*rows: int) -> bool:
+        for r in rows:
+            if r not in places:
+                places[r] = set(tile.column("places")[r].as_py())
+        return min(places[rows[0]] & places[rows[1]]) == here
+
+    for x in range(len(size) - 1):
+        rest = slice(x + 1, None)
+        near = (component[rest] != component[x]) & (np.minimum(size[rest], size[x]) * den >= num * np.maximum(size[rest], size[x]))
+        y = np.flatnonzero(near if within else near & (block[rest] != block[x])) + x + 1
+        if len(y):
+            y = y[_enough(most_overlap(bits[x], bits[y], size[x], size[y]), size[x], size[y], num, den)]
+            out += [(min(a, b), max(a, b)) for k in y.tolist() if first_place(x, k) for a, b in [(int(node[x]), int(node[k]))]]
+    return out
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Groups of ``docs`` (doc_id, text) linked by Jaccard similarity of at least num / den of their word shingles.
 
@@ -170,43 +211,67 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     met = write_table(met.where("pivot != last").distinct().drop("last"), "meetings")
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    taking_part = write_table(met.select("node").distinct().join(owners, "node"), "taking-part")
-    chosen = spark.sparkContext.broadcast(_ids_filter(taking_part))
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((chosen.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0))
-            for first, end, data, at in text_slices(batch.column("text")):
-                values, offsets, whole = document_sets(data, at, words)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-                maps = [bitmap(values[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(whole.view(np.int64)), lists, pa.array(maps, pa.binary())], ["doc_id", "node", "hashes", "bits"])
+    def from_texts(nodes: DataFrame, make, schema: str, name: str) -> DataFrame:
+        """A table for the sets ``nodes``, made anew from the one text of each that owns it."""
+        wanted = write_table(nodes.join(owners, "node"), "wanted-sets")
+        chosen = spark.sparkContext.broadcast(_ids_filter(wanted))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column("bit").to_numpy()
+                batch = batch.filter(pa.array((chosen.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0))
+                for first, end, data, at in text_slices(batch.column("text")):
+                    values, offsets, whole = document_sets(data, at, words)
+                    columns = {"doc_id": batch.column("doc_id").slice(first, end - first), "node": pa.array(whole.view(np.int64)), **make(values, offsets)}
+                    yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    of_docs = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(arrays, "doc_id long, node long, hashes array<long>, bits binary")
-    of_nodes = write_table(of_docs.join(taking_part, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "hashes", "bits"), "set-arrays")
+        rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(read, f"doc_id long, node long, {schema}")
+        return write_table(rows.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).drop("doc_id"), name)
+
+    def bitmaps(values: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
+        return {"size": pa.array(np.diff(at)), "bits": pa.array([bitmap(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}
+
+    def arrays(values: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
+        return {"hashes": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))}
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in ("a_bits", "b_bits"))
+            n, m = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
+            kept = pa.array(_enough(most_overlap(a, b, n, m), n, m, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
-            la, ra, lv, rv = left.offsets.to_numpy(), right.offsets.to_numpy(), left.values.to_numpy().view(np.uint64), right.values.to_numpy().view(np.uint64)
-            bits = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, BITMAP_BITS // 8) for x in ("left_bits", "right_bits")]
-            n, m = np.diff(la).astype(np.int64), np.diff(ra).astype(np.int64)
-            keep = _enough(most_overlap(*bits, n, m), n, m, num, den)
-            for i in np.flatnonzero(keep).tolist():
+            la, ra, lv, rv = left.offsets.to_numpy(), right.offsets.to_numpy(), left.values.to_numpy(), right.values.to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
                 both = np.concatenate([lv[la[i] : la[i + 1]], rv[ra[i] : ra[i + 1]]])
-                both.sort(kind="stable")  # merges the two sorted runs
-                keep[i] = _enough(int((both[1:] == both[:-1]).sum()), int(n[i]), int(m[i]), num, den)
+                both.sort(kind="stable")  # merges two sorted runs
+                keep[i] = _enough(int((both[1:] == both[:-1]).sum()), int(la[i + 1] - la[i]), int(ra[i + 1] - ra[i]), num, den)
             kept = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
+    def side(table: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+        return table.select(F.col("node").alias(key), *[F.col(x).alias(y) for x, y in names.items()])
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps allow enough overlap."""
+        with_bits = pairs.join(side(of_nodes, "a", {"size": "a_size", "bits": "a_bits"}), "a").join(side(of_nodes, "b", {"size": "b_size", "bits": "b_bits"}), "b")
+        return with_bits.mapInArrow(possible, "a long, b long")
+
     def links(pairs: DataFrame) -> DataFrame:
-        left = of_nodes.select(F.col("node").alias("a"), F.col("hashes").alias("left"), F.col("bits").alias("left_bits"))
-        right = of_nodes.select(F.col("node").alias("b"), F.col("hashes").alias("right"), F.col("bits").alias("right_bits"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
+        """Pairs with enough overlap, by their sorted arrays."""
+        pairs = write_table(pairs, "close-pairs")
+        sets_of = from_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), arrays, "hashes array<long>", "set-arrays")
+        with_arrays = pairs.join(side(sets_of, "a", {"hashes": "left"}), "a").join(side(sets_of, "b", {"hashes": "right"}), "b")
+        return write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
 
+    of_nodes = from_texts(met.select("node").distinct(), bitmaps, "size long, bits binary", "bitmaps")
     star = met.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = write_table(links(star), "links")
+    found = links(bounded(star))
     component = write_table(connected_components(found), "components")
 
     # Places whose sets still lie in different components.
@@ -214,33 +279,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     split = split.withColumn("n", F.count("*").over(place)).withColumn("least", F.min("component").over(place)).withColumn("most", F.max("component").over(place))
     split = write_table(split.where("least != most and n > 2").select("key", "node", "pivot", "component", "n"), "split-places")
     if split.head(1):
-        small = split.where(F.col("n") <= BLOCK).where("node != pivot")
-        x, y = small.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), small.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        pairs = x.join(y, "key").where("a < b and ca != cb").select("a", "b").distinct()
-
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        large = split.where(F.col("n") > BLOCK).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        large = large.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        large = large.join(of_nodes.select("node", "bits", F.size("hashes").cast("long").alias("size")), "node")
-
-        def compare(key, rows):
-            rows = rows.reset_index(drop=True)
-            bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
-            size, comp, block, node = (rows[c].to_numpy() for c in ("size", "component", "own", "node"))
-            out_a, out_b = [], []
-            for i in range(len(rows)):
-                j = np.arange(i + 1, len(rows))
-                j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (key[1] == key[2]))]
-                j = j[_enough(most_overlap(bits[i], bits[j], size[i], size[j]), size[i], size[j], num, den)]
-                out_a.append(np.minimum(node[i], node[j]))
-                out_b.append(np.maximum(node[i], node[j]))
-            import pandas as pd
-
-            return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-        pairs = pairs.union(large.select("key", "i", "j", "node", "bits", "size", "component", "own").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
-        more = write_table(links(pairs), "links")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        tiles_of = split.withColumn("blocks", blocks).withColumn("own", own).select("key", "node", "component", "own", other)
+        tiles_of = tiles_of.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+        places = split.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("places"))
+        tiles_of = tiles_of.join(of_nodes.join(places, "node"), "node")
+        tiles_of = tiles_of.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for tile in _groups(batches, ("key", "i", "j")):
+                if pairs_here := _close_pairs(tile, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs_here, strict=True)], ["a", "b"])
+
+        pairs = tiles_of.mapInArrow(compare, "a long, b long")
+        more = links(pairs)
         if more.head(1):
             component = write_table(connected_components(found.union(more)), "components")
 
