@@ -146,26 +146,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 def _close_pairs(tile: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of a tile from different components whose bitmaps allow enough overlap; between its two blocks, or within its one.
-
-    Of the places where both sets meet, only the first gives the pair."""
+    """Pairs of a tile from different components whose bitmaps allow enough overlap; between its two blocks, or within its one."""
     size, component, block, node = (tile.column(c).to_numpy() for c in ("size", "component", "own", "node"))
     bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
-    within, here, places, out = bool(tile.column("i")[0] == tile.column("j")[0]), tile.column("key")[0].as_py(), {}, []
-
-    def first_place(*rows: int) -> bool:
-        for r in rows:
-            if r not in places:
-                places[r] = set(tile.column("places")[r].as_py())
-        return min(places[rows[0]] & places[rows[1]]) == here
-
+    within, out = bool(tile.column("i")[0] == tile.column("j")[0]), []
     for x in range(len(size) - 1):
         rest = slice(x + 1, None)
         near = (component[rest] != component[x]) & (np.minimum(size[rest], size[x]) * den >= num * np.maximum(size[rest], size[x]))
         y = np.flatnonzero(near if within else near & (block[rest] != block[x])) + x + 1
         if len(y):
             y = y[_enough(most_overlap(bits[x], bits[y], size[x], size[y]), size[x], size[y], num, den)]
-            out += [(min(a, b), max(a, b)) for k in y.tolist() if first_place(x, k) for a, b in [(int(node[x]), int(node[k]))]]
+            out += [(min(a, b), max(a, b)) for a, b in ((int(node[x]), int(node[k])) for k in y.tolist())]
     return out
 
 
@@ -284,16 +275,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         tiles_of = split.withColumn("blocks", blocks).withColumn("own", own).select("key", "node", "component", "own", other)
         tiles_of = tiles_of.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-        places = split.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("places"))
-        tiles_of = tiles_of.join(of_nodes.join(places, "node"), "node")
+        tiles_of = tiles_of.join(of_nodes, "node")
         tiles_of = tiles_of.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: set[tuple[int, int]] = set()
             for tile in _groups(batches, ("key", "i", "j")):
-                if pairs_here := _close_pairs(tile, num, den):
+                if pairs_here := [x for x in _close_pairs(tile, num, den) if x not in sent]:
+                    sent.update(pairs_here)
+                    if len(sent) > REMEMBERED:
+                        sent.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs_here, strict=True)], ["a", "b"])
 
-        pairs = tiles_of.mapInArrow(compare, "a long, b long")
+        pairs = tiles_of.mapInArrow(compare, "a long, b long").distinct()
         more = links(pairs)
         if more.head(1):
             component = write_table(connected_components(found.union(more)), "components")
