@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentora.llm.components import connected_components
-from mentora.llm.storage import write_table
+from mentora.llm.storage import drop_finished_shuffles, write_table
 from mentora.llm.words import distinct_rows, mix, shingle_hashes, text_slices, word_hashes
 
 BITMAP_BITS = 2048
@@ -200,6 +200,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     place = Window.partitionBy("key")
     met = docs.mapInArrow(meetings, "key long, node long").withColumn("pivot", F.min("node").over(place)).withColumn("last", F.max("node").over(place))
     met = write_table(met.where("pivot != last").distinct().drop("last"), "meetings")
+    drop_finished_shuffles(spark)
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
@@ -258,7 +259,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         pairs = write_table(pairs, "close-pairs")
         sets_of = from_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), arrays, "hashes array<long>", "set-arrays")
         with_arrays = pairs.join(side(sets_of, "a", {"hashes": "left"}), "a").join(side(sets_of, "b", {"hashes": "right"}), "b")
-        return write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
+        linked = write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
+        del with_arrays
+        drop_finished_shuffles(spark)
+        return linked
 
     of_nodes = from_texts(met.select("node").distinct(), bitmaps, "size long, bits binary", "bitmaps")
     star = met.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()

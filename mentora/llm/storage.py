@@ -6,6 +6,7 @@ written there cuts the lineage, so a lost executor costs a read instead of a rec
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -33,6 +34,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect plans that nothing refers to any more, upon which Spark deletes their shuffle files.
+
+    Without it they stay on the executors' disks until the driver happens to collect.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a shared path, for files that tasks write themselves."""
     return pafs.FileSystem.from_uri(uri)
