@@ -31,6 +31,9 @@ BLOCK = 2048
 #: Distinct sets that a task remembers in order to send each once.
 REMEMBERED = 1_000_000
 FILTER_BITS = 1 << 24
+#: Rows of a batch in verification, as each holds the arrays of two whole sets.
+VERIFY_ROWS = 128
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Tiles:
@@ -259,7 +262,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         pairs = write_table(pairs, "close-pairs")
         sets_of = from_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), arrays, "hashes array<long>", "set-arrays")
         with_arrays = pairs.join(side(sets_of, "a", {"hashes": "left"}), "a").join(side(sets_of, "b", {"hashes": "right"}), "b")
-        linked = write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
+        batch_rows = spark.conf.get(BATCH_ROWS)
+        spark.conf.set(BATCH_ROWS, str(VERIFY_ROWS))
+        try:
+            linked = write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
+        finally:
+            spark.conf.set(BATCH_ROWS, batch_rows)
         del with_arrays
         drop_finished_shuffles(spark)
         return linked
