@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentora.llm.components import connected_components
-from mentora.llm.storage import drop_finished_shuffles, write_table
+from mentora.llm.storage import arrow_batches, drop_finished_shuffles, write_table
 from mentora.llm.words import distinct_rows, mix, shingle_hashes, text_slices, word_hashes
 
 BITMAP_BITS = 2048
@@ -33,7 +33,8 @@ REMEMBERED = 1_000_000
 FILTER_BITS = 1 << 24
 #: Rows of a batch in verification, as each holds the arrays of two whole sets.
 VERIFY_ROWS = 128
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch of texts. Two batches may be held at once, before and after leaving out the texts without a part.
+TEXT_ROWS = 512
 
 
 class Tiles:
@@ -199,10 +200,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                 rows, keys = meeting_keys(values, np.concatenate([[0], np.cumsum(size[fresh])]), tiles)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whole[fresh][rows].view(np.int64))], ["key", "node"])
 
-    base = write_table(docs.mapInArrow(sets, "doc_id long, n_shingles long, node long"), "sets")
+    with arrow_batches(spark, TEXT_ROWS):
+        base = write_table(docs.mapInArrow(sets, "doc_id long, n_shingles long, node long"), "sets")
     place = Window.partitionBy("key")
     met = docs.mapInArrow(meetings, "key long, node long").withColumn("pivot", F.min("node").over(place)).withColumn("last", F.max("node").over(place))
-    met = write_table(met.where("pivot != last").distinct().drop("last"), "meetings")
+    with arrow_batches(spark, TEXT_ROWS):
+        met = write_table(met.where("pivot != last").distinct().drop("last"), "meetings")
     drop_finished_shuffles(spark)
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -222,7 +225,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                     yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
         rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(read, f"doc_id long, node long, {schema}")
-        return write_table(rows.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).drop("doc_id"), name)
+        with arrow_batches(spark, TEXT_ROWS):
+            return write_table(rows.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).drop("doc_id"), name)
 
     def bitmaps(values: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
         return {"size": pa.array(np.diff(at)), "bits": pa.array([bitmap(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}
@@ -262,12 +266,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         pairs = write_table(pairs, "close-pairs")
         sets_of = from_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), arrays, "hashes array<long>", "set-arrays")
         with_arrays = pairs.join(side(sets_of, "a", {"hashes": "left"}), "a").join(side(sets_of, "b", {"hashes": "right"}), "b")
-        batch_rows = spark.conf.get(BATCH_ROWS)
-        spark.conf.set(BATCH_ROWS, str(VERIFY_ROWS))
-        try:
+        with arrow_batches(spark, VERIFY_ROWS):
             linked = write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
-        finally:
-            spark.conf.set(BATCH_ROWS, batch_rows)
         del with_arrays
         drop_finished_shuffles(spark)
         return linked
