@@ -209,6 +209,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     drop_finished_shuffles(spark)
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # Without repeated rows each set has one owning row, and no sort of whole sets is needed to make them distinct.
+    repeated = bool(base.where("node is not null and doc_id is not null").groupBy("doc_id", "node").count().where("count > 1").head(1))
 
     def from_texts(nodes: DataFrame, make, schema: str, name: str) -> DataFrame:
         """A table for the sets ``nodes``, made anew from the one text of each that owns it."""
@@ -225,8 +227,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                     yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
         rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(read, f"doc_id long, node long, {schema}")
+        rows = rows.join(wanted, ["doc_id", "node"])
         with arrow_batches(spark, TEXT_ROWS):
-            return write_table(rows.join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).drop("doc_id"), name)
+            return write_table((rows.dropDuplicates(["doc_id", "node"]) if repeated else rows).drop("doc_id"), name)
 
     def bitmaps(values: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
         return {"size": pa.array(np.diff(at)), "bits": pa.array([bitmap(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}
