@@ -210,7 +210,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # Without repeated rows each set has one owning row, and no sort of whole sets is needed to make them distinct.
-    repeated = bool(base.where("node is not null and doc_id is not null").groupBy("doc_id", "node").count().where("count > 1").head(1))
+    repeated = bool(base.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").head(1))
 
     def from_texts(nodes: DataFrame, make, schema: str, name: str) -> DataFrame:
         """A table for the sets ``nodes``, made anew from the one text of each that owns it."""
@@ -227,7 +227,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                     yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
         rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(read, f"doc_id long, node long, {schema}")
-        rows = rows.join(wanted, ["doc_id", "node"])
+        # A set whose every row lacks a doc_id is owned by such a row.
+        rows = rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.node") == F.col("w.node"))).select("r.*")
         with arrow_batches(spark, TEXT_ROWS):
             return write_table((rows.dropDuplicates(["doc_id", "node"]) if repeated else rows).drop("doc_id"), name)
 

@@ -223,6 +223,16 @@ def test_jaccard_edges(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_sets_without_ids(spark):
+    words = prose(3, 60).split()
+    a, b, c = " ".join(words), " ".join([*words, "x1"]), " ".join([*words, "x1", "x2"])
+    rows = [(4, a), (None, b), (None, b), (9, c), (None, prose(4, 30)), (None, prose(4, 30))]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string")
+        got = Counter((r.doc_id, r.component_id) for r in jaccard_components(table, 5, 96, 100).collect())
+        assert got == {(4, 4): 1, (None, 4): 2, (9, 4): 1, (None, None): 2}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 10 != 9] + [(5, 5)], "a long, b long")
     assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(i, i // 10 * 10) for i in range(31) if i < 30}
