@@ -90,3 +90,8 @@ def misconception_family(profile: Column) -> Column:
 
 def loose_family(profile: Column) -> Column:
     return _family(F.lower(profile), LOOSE_FAMILIES, "other")
+
+
+def message(role: Column, content: Column) -> Column:
+    """``Role: text`` on one line; line breaks become a backslash and an n."""
+    return F.concat(F.initcap(role), F.lit(": "), F.replace(content, F.lit("\n"), F.lit("\\n")))

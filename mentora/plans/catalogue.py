@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mentora.functions import text as T
 from mentora.operators import bkt, metrics
 from mentora.operators import turns as U
+from mentora.plans.reports import REPORTS, REPORTS_SQL
 from mentora.plans.sql import SQL
 from mentora.sources import adapters as A
 
@@ -380,8 +381,8 @@ def reload_parity(spark, sf_dir):
 
 
 def catalogue() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | REPORTS
 
 
 def catalogue_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | REPORTS_SQL
