@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentora.functions.text import fold_content
+from mentora.functions.text import correct_to_str, fold_content, skills_to_str
 
 
 def coalesce_turns(utterances: DataFrame) -> DataFrame:
@@ -24,6 +24,21 @@ def coalesce_turns(utterances: DataFrame) -> DataFrame:
     return turns.withColumn("last", last).where("turn < last or student != ''").drop("last")
 
 
+def histories(turns: DataFrame, include_labels: bool = False, tag_wrapper: bool = True) -> DataFrame:
+    """(d, turn, history) of coalesced turns: the whole text of all turns before and the turn's own teacher line.
+
+    The turn's student line is withheld, as it gives the label away. ``include_labels`` adds the labels of the turns
+    before and needs the columns correct and kcs.
+    """
+    line = lambda role: F.when(F.col(role.lower()) != "", F.concat(F.lit(f"{role} Turn "), F.col("turn").cast("string"), F.lit(": "), F.col(role.lower())))
+    label = lambda start, end, value: F.concat(F.lit(start), F.col("turn").cast("string"), F.lit(end), value)
+    labels = (label("Student Turn ", " Correct: ", correct_to_str(F.col("correct"))), label("Turn ", " Knowledge Components: ", skills_to_str(F.col("kcs"), " "))) if include_labels else ()
+    before = Window.partitionBy("d").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.flatten(F.collect_list(F.array_compact(F.array(line("Teacher"), line("Student"), *labels))).over(before))
+    text = F.array_join(F.concat(past, F.array_compact(F.array(line("Teacher")))), "\n")
+    return turns.select("d", "turn", (F.concat(F.lit("[BEGIN DIALOGUE]\n"), text, F.lit("\n[END DIALOGUE]")) if tag_wrapper else text).alias("history"))
+
+
 def apply_override(turns: DataFrame) -> DataFrame:
     """Adds ``correct``: on the last turn, if labelled, the dialogue's own outcome: solved, not solved, or revealed (null)."""
     outcome = F.when(F.col("status") == "F", True).when(F.col("status") == "O", False).when(F.col("status") == "P", None).otherwise(F.col("og"))

@@ -53,13 +53,19 @@ def role_transitions(spark, sf_dir):
 
 @query
 def dialogue_text_prefix(spark, sf_dir):
-    """History of each teacher turn: all before it, its student line withheld."""
+    """Only the first 20 characters of each utterance before a teacher utterance; dialogue_histories has whole histories."""
     before = Window.partitionBy("d").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     line = F.concat(F.initcap("role"), F.lit(": "), F.substring("content", 1, 20))
     rows = A.utterances(spark, sf_dir).withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
     return rows.where("role = 'teacher'").select("d", "pos", "history")
 
 
+@query
+def dialogue_histories(spark, sf_dir):
+    """History of each turn: whole texts before it and its teacher line, its student line withheld."""
+    return U.histories(U.coalesce_turns(A.utterances(spark, sf_dir))).select("d", F.col("turn").cast("long").alias("turn"), "history")
+
+
 @query
 def chat_contexts(spark, sf_dir):
     """One row for each assistant message after the first: how much stands before it."""

@@ -93,6 +93,7 @@ SQL = {
     "turn_counts_by_dialogue": f"{_COALESCED} SELECT d, CAST(count(*) AS BIGINT) AS n_turns FROM l WHERE turn < last OR student <> '' GROUP BY d",
     "role_transitions": f"WITH {_UTTER}, x AS (SELECT role, lead(role) OVER (PARTITION BY d ORDER BY pos) AS after FROM u) SELECT role, after, CAST(count(*) AS BIGINT) AS n FROM x WHERE after IS NOT NULL GROUP BY 1, 2",
     "dialogue_text_prefix": f"WITH {_UTTER}, x AS (SELECT *, coalesce(string_agg(upper(role[1]) || role[2:] || ': ' || substr(content, 1, 20), chr(10)) OVER (PARTITION BY d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM u) SELECT d, pos, history FROM x WHERE role = 'teacher'",
+    "dialogue_histories": f"{_COALESCED}, k AS (SELECT d, turn, CASE WHEN teacher <> '' THEN 'Teacher Turn ' || CAST(turn AS INT) || ': ' || teacher END AS t, CASE WHEN student <> '' THEN 'Student Turn ' || CAST(turn AS INT) || ': ' || student END AS s FROM l WHERE turn < last OR student <> ''), h AS (SELECT d, turn, t, string_agg(nullif(concat_ws(chr(10), t, s), ''), chr(10)) OVER (PARTITION BY d ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM k) SELECT d, CAST(turn AS BIGINT) AS turn, '[BEGIN DIALOGUE]' || chr(10) || concat_ws(chr(10), past, t) || chr(10) || '[END DIALOGUE]' AS history FROM h",
     "chat_contexts": "WITH x AS (SELECT conv_id, turn, role, count(*) OVER w AS n_before, coalesce(sum(length(text)) OVER w, 0) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, CAST(n_before AS BIGINT) AS n_before, CAST(chars AS BIGINT) AS chars_before FROM x WHERE role = 'assistant' AND n_before > 0",
     "prompt_batches": "WITH x AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE role = 'user') SELECT substr(h, 1, 2) AS bucket, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) / 64.0) AS BIGINT) AS batches FROM x GROUP BY 1",
     "observations_long": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, kc, CAST(correct AS BIGINT) AS correct, split FROM obs",

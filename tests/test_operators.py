@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from mentora.functions import text as T
 from mentora.operators import bkt, metrics
-from mentora.operators.turns import apply_override, coalesce_turns
+from mentora.operators.turns import apply_override, coalesce_turns, histories
 
 
 def test_turns_student_first_repeats_and_missing_answer(spark):
@@ -12,6 +12,17 @@ def test_turns_student_first_repeats_and_missing_answer(spark):
     assert got == {(1, 0): ("", "Hi"), (1, 1): ("Go on", "ok"), (2, 1): ("A. B", "c")}
 
 
+def test_histories_are_whole_and_end_with_the_teacher_line(spark):
+    long = "word " * 40 + "end"
+    turns = spark.createDataFrame([(1, 0, "", "Hi", None, []), (1, 1, long, long, True, ["a", "b"]), (1, 2, long + " 2", "", False, ["a"]), (1, 3, "Last", "no", None, [])], "d long, turn int, teacher string, student string, correct boolean, kcs array<string>")
+    plain = {r.turn: r.history.split("\n") for r in histories(turns).collect()}
+    lines = ["Student Turn 0: Hi", f"Teacher Turn 1: {long}", f"Student Turn 1: {long}", f"Teacher Turn 2: {long} 2", "Teacher Turn 3: Last"]
+    assert plain == {t: ["[BEGIN DIALOGUE]", *(lines[:n] or [""]), "[END DIALOGUE]"] for t, n in ((0, 0), (1, 2), (2, 4), (3, 5))}
+    labelled = {r.turn: r.history for r in histories(turns, include_labels=True, tag_wrapper=False).collect()}
+    after = ["Student Turn 0 Correct: na", "Turn 0 Knowledge Components: None"], ["Student Turn 1 Correct: true", "Turn 1 Knowledge Components: 1) a 2) b"]
+    assert labelled[2] == "\n".join([lines[0], *after[0], *lines[1:3], *after[1], lines[3]])
+
+
 def test_override_table(spark):
     rows = [(i, 1, og, ["k"], s, True) for i, (og, s) in enumerate((og, s) for og in (True, False, None) for s in "FOPX")]
     got = [r.correct for r in apply_override(spark.createDataFrame(rows, "d long, turn int, og boolean, kcs array<string>, status string, is_last boolean")).orderBy("d").collect()]
