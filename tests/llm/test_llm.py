@@ -12,7 +12,7 @@ import pytest
 from mentora.llm.bpe import default_vocabulary, encoder
 from mentora.llm.chat import conversation_digests, fold, format_conversations, parse, render, turn_events
 from mentora.llm.components import connected_components
-from mentora.llm.decontam import contamination, drop_contaminated, prefix_distance
+from mentora.llm.decontam import contamination, drop_contaminated, nearest_window, prefix_distance
 from mentora.llm.lm import MappedTable, lm_scores, mix, unmix
 from mentora.llm.media import clips, decode_files, encode_media, encode_slice, media_features
 from mentora.llm.ngram_join import jaccard_components, keep_one
@@ -138,6 +138,27 @@ def test_decontamination(spark, docs, empty):
     assert prefix_distance(np.array([1, 2, 3], np.uint64), np.array([1, 3, 9], np.uint64)) == 1
 
 
+def test_decontamination_finds_long_edited_items(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    items, rows = {}, []
+    for i in range(48):
+        length = (60, 100, 200, 300, 600)[i % 5]
+        items[i], most = fresh(length), int(0.15 * length)
+        words, places = list(items[i]), range(length) if i % 2 else range(2 * most)  # spread, or all near the start
+        for k, at in enumerate(sorted(rng.choice(places, most, replace=False).tolist(), reverse=True)):
+            words[at : at + (k % 3 != 1)] = [] if k % 3 == 2 else fresh(1)
+        rows.append((i, " ".join(fresh(30) + words + fresh(30))))
+    table, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {r.doc_id: r for r in contamination(table, benchmark).collect()}
+    assert set(got) == set(items) and drop_contaminated(table, benchmark).count() == 0
+    number = lambda ws: np.array([zlib.crc32(w.encode()) for w in ws], np.uint64)
+    for i in range(0, 48, 16):
+        item, text = number(items[i]), number(rows[i][1].split())
+        best = min((prefix_distance(item, text[k:]), k) for k in range(len(text)))
+        assert (got[i].distance, got[i].start_word) == best == nearest_window(item, text)
+
+
 def test_lm_probabilities(spark, docs, empty):
     x = np.random.default_rng(1).integers(0, 2**63, 100, dtype=np.uint64)
     assert np.array_equal(unmix(mix(x)), x)
