@@ -26,15 +26,19 @@ def forward(labels: Column, prior: Column, learn: Column, guess: Column, slip: C
     return F.aggregate(labels, start, step, lambda s: s["out"])
 
 
-def predict(obs: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
-    """(d, turn, pos, kc, correct, p). A skill without parameters, or with some missing, takes the fallback for these.
+def predict(obs: DataFrame, parameters: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
+    """(d, turn, pos, kc, correct, p). A skill without parameters, or with some missing, takes the one row of
+    ``fallback`` for these, else the defaults.
 
     Sequences are short arrays per dialogue and skill, so no group grows beyond one dialogue.
     """
     rows = obs.groupBy("d", "kc").agg(F.array_sort(F.collect_list(F.struct("turn", "pos", "correct"))).alias("seq"))
     if parameters is not None:
         rows = rows.join(parameters, "kc", "left")
-    value = lambda name: F.lit(DEFAULTS[name]) if parameters is None else F.coalesce(F.nanvl(F.col(name), F.lit(None).cast("double")), F.lit(DEFAULTS[name]))
+    if fallback is not None:
+        rows = rows.crossJoin(F.broadcast(fallback.select(*[F.col(x).alias(f"other_{x}") for x in DEFAULTS])))
+    known = lambda name: F.nanvl(F.col(name), F.lit(None).cast("double"))
+    value = lambda name: F.coalesce(*[known(name)] * (parameters is not None), *[known(f"other_{name}")] * (fallback is not None), F.lit(DEFAULTS[name]))
     p = forward(F.col("seq.correct"), *(value(x) for x in ("prior", "learns", "guesses", "slips")))
     return rows.withColumn("p", p).select("d", "kc", F.explode(F.arrays_zip("seq", "p")).alias("x")).select("d", "x.seq.turn", "x.seq.pos", "kc", "x.seq.correct", "x.p")
 
@@ -112,3 +116,12 @@ def weighted_fallback(parameters: DataFrame, counts: DataFrame) -> DataFrame:
         weight = F.sum(F.when(value.isNotNull(), F.col("w")))
         out.append(F.coalesce(F.when(weight > 0, F.sum(value * F.col("w")) / weight), F.avg(value), F.lit(default)).alias(name))
     return rows.agg(*out)
+
+
+def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Predictions of ``test`` by parameters fitted on ``train``.
+
+    Skills that are all right or all wrong in ``train``, or not in it, take the observation-weighted mean of the others.
+    """
+    parameters = fit(train)
+    return predict(test, parameters, weighted_fallback(parameters, train.groupBy("kc").agg(F.count("correct").alias("n"))))

@@ -274,7 +274,7 @@ def bkt_fit_params(spark, sf_dir):
 def bkt_fit_eval(spark, sf_dir):
     """Fit on train, predict test, first turns left out."""
     obs = _obs(spark, sf_dir)
-    predictions = bkt.predict(obs.where("split = 'test'"), bkt.fit(obs.where("split = 'train'")))
+    predictions = bkt.fit_predict(obs.where("split = 'train'"), obs.where("split = 'test'"))
     return metrics.scores(metrics.drop_first_turns(metrics.turn_probabilities(predictions)))
 
 

@@ -39,6 +39,20 @@ def test_forward_looks_back_only_and_fit_learns(spark):
     assert all(0 < v < 1 for v in got.values()) and got["guesses"] <= 0.49
 
 
+def test_unfitted_skills_take_the_weighted_mean(spark):
+    rng, rows = np.random.default_rng(3), []
+    for kc, n in (("a", 40), ("b", 10)):
+        rows += [(d, t, 0, kc, int(y)) for d in range(n) for t, y in enumerate(rng.random(6) < np.linspace(0.2, 0.9, 6))]
+    train = spark.createDataFrame([*rows, *[(d, 9, 0, "right", 1) for d in range(30)]], "d long, turn int, pos int, kc string, correct int")
+    test = spark.createDataFrame([(d, 0, 0, kc, 1) for d, kc in enumerate(("a", "right", "unseen"))], train.schema)
+    fitted = {r.kc: r for r in bkt.fit(train).collect()}
+    start = lambda r: r["prior"] * (1 - r["slips"]) + (1 - r["prior"]) * r["guesses"]
+    mean = {x: (240 * fitted["a"][x] + 60 * fitted["b"][x]) / 300 for x in bkt.DEFAULTS}
+    got = {r.kc: r.p for r in bkt.fit_predict(train, test).collect()}
+    assert set(fitted) == {"a", "b"} and np.allclose([got["a"], got["right"], got["unseen"]], [start(fitted["a"]), start(mean), start(mean)], atol=1e-9, rtol=0)
+    assert abs(start(mean) - start(bkt.DEFAULTS)) > 0.01
+
+
 def test_auc_with_ties(spark):
     turns = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 0, 0.5), (1, 3, 1, 0.9), (1, 4, 0, 0.1), (1, 5, 1, float("nan"))], "d long, turn int, correct int, p double")
     r = metrics.scores(turns).head()
