@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARAMETERS = "kc string, prior double, learns double, guesses double, slips double"
 DEFAULTS = {"prior": 0.5, "learns": 0.1, "guesses": 0.2, "slips": 0.1}
+#: Expected counts of a sequence: first step known, transitions from unknown, steps by state, and the log-likelihood.
+SUMS = ("n", "first", "stayed", "learned", "known", "slipped", "unknown", "guessed", "ll")
+CELLS = 100_000
 
 
 def forward(labels: Column, prior: Column, learn: Column, guess: Column, slip: Column) -> Column:
@@ -92,19 +97,94 @@ def fit_skill(sequences: list[np.ndarray], seed: int, restarts: int = 5, iterati
     return dict(zip(("prior", "learns", "guesses", "slips"), best, strict=True))
 
 
-def fit(train: DataFrame, seed: int = 221) -> DataFrame:
-    """Parameters of every skill with both labels in ``train`` (d, turn, pos, kc, correct).
-
-    A sequence is one array, so a skill's group holds small integers only.
+def _sequence_sums(y: np.ndarray, prior: np.ndarray, learn: np.ndarray, guess: np.ndarray, slip: np.ndarray) -> np.ndarray:
+    """SUMS of each row of labels of one length, by the parameters of that row. Elementwise, so that no row depends on others."""
+    n, length = y.shape
+    unknown_emit = np.where(y == 1, guess[:, None], 1 - guess[:, None])
+    known_emit = np.where(y == 1, 1 - slip[:, None], slip[:, None])
+    alpha, scale = np.empty((2, n, length)), np.empty((n, length))
+    unknown, known = (1 - prior) * unknown_emit[:, 0], prior * known_emit[:, 0]
+    for t in range(length):
+        if t:
+            a, b = alpha[:, :, t - 1]
+            unknown, known = a * (1 - learn) * unknown_emit[:, t], (a * learn + b) * known_emit[:, t]
+        scale[:, t] = np.maximum(unknown + known, 1e-300)
+        alpha[:, :, t] = unknown / scale[:, t], known / scale[:, t]
+    out = np.zeros((n, len(SUMS)))
+    out[:, SUMS.index("n")], out[:, SUMS.index("ll")] = 1, np.log(scale).sum(1)
+    beta_unknown = beta_known = np.ones(n)
+    for t in range(length - 1, -1, -1):
+        if t < length - 1:
+            to_unknown, to_known = unknown_emit[:, t + 1] * beta_unknown / scale[:, t + 1], known_emit[:, t + 1] * beta_known / scale[:, t + 1]
+            out[:, SUMS.index("stayed")] += alpha[0, :, t] * (1 - learn) * to_unknown
+            out[:, SUMS.index("learned")] += alpha[0, :, t] * learn * to_known
+            beta_unknown, beta_known = (1 - learn) * to_unknown + learn * to_known, to_known
+        unknown, known = alpha[0, :, t] * beta_unknown, alpha[1, :, t] * beta_known
+        total = np.maximum(unknown + known, 1e-300)
+        unknown, known, right = unknown / total, known / total, y[:, t] == 1
+        out[:, SUMS.index("known")] += known
+        out[:, SUMS.index("slipped")] += known * ~right
+        out[:, SUMS.index("unknown")] += unknown
+        out[:, SUMS.index("guessed")] += unknown * right
+    out[:, SUMS.index("first")] = known
+    return out
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch], state: dict[str, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """(kc, restart, SUMS) of the label sequences (kc, seq, times) for the running restarts of ``state``."""
+    for batch in batches:
+        kcs, seqs, times, out = batch.column("kc").to_pylist(), batch.column("seq").to_pylist(), batch.column("times").to_pylist(), {}
+        rows = sorted((len(seqs[i]), i, r, p) for i, kc in enumerate(kcs) for r, p in state.get(kc, ()))
+        while rows:
+            length = rows[0][0]
+            most = max(1, CELLS // length)
+            part = rows[: next((k for k, x in enumerate(rows[:most]) if x[0] != length), most)]
+            rows = rows[len(part) :]
+            sums = _sequence_sums(np.array([seqs[i] for _, i, *_ in part]), *np.array([p for *_, p in part]).T)
+            for (_, i, r, _), x in zip(part, sums * np.array([times[i] for _, i, *_ in part])[:, None], strict=True):
+                out[kcs[i], r] = out.get((kcs[i], r), 0) + x
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([r for _, r in out], pa.int32()), *(pa.array([float(x[j]) for x in out.values()]) for j in range(len(SUMS)))], ["kc", "restart", *SUMS])
+
+
+def fit(train: DataFrame, seed: int = 221, restarts: int = 5, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """Parameters of every skill with both labels in ``train`` (d, turn, pos, kc, correct), as ``fit_skill`` gives them.
+
+    Equal label sequences of a skill are counted first and dealt out by skill and sequence, so no task gets a skill's
+    whole group. Each iteration is one job over all skills and restarts; the driver holds five numbers for each of these.
+    Sums are added as decimals, so their order doesn't matter.
     """
-    stats = train.groupBy("kc").agg(F.count("correct").alias("n"), F.sum("correct").alias("k")).where("k > 0 and k < n").select("kc")
-    seqs = train.join(stats, "kc").groupBy("kc", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "pos", "correct"))), lambda x: x["correct"]).alias("seq"))
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        own = [np.asarray(s) for _, s in sorted(zip(rows["d"], rows["seq"], strict=True), key=lambda x: x[0])]
-        return pd.DataFrame([{"kc": key[0], **fit_skill(own, seed + sum(key[0].encode()))}])
-
-    return seqs.groupBy("kc").applyInPandas(run, PARAMETERS)
+    spark = train.sparkSession
+    seqs = train.where("kc is not null and correct is not null").groupBy("kc", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "pos", "correct"))), lambda x: x["correct"].cast("int")).alias("seq"))
+    counted = seqs.groupBy("kc", "seq").agg(F.count("*").alias("times")).persist()
+    total = counted.agg(F.sum(F.size("seq"))).head()[0] or 0
+    dealt = counted.repartition(1 + total // CELLS, "kc", "seq").sortWithinPartitions("kc", "seq").persist()
+    mixed = counted.groupBy("kc").agg(F.min(F.array_min("seq")).alias("least"), F.max(F.array_max("seq")).alias("most")).where("least < most")
+    running, best = {}, {}
+    for (kc,) in mixed.select("kc").collect():
+        rng = np.random.default_rng(seed + sum(kc.encode()))
+        for r in range(restarts):
+            running[kc, r] = ((float(rng.uniform(0.05, 0.5)), *rng.uniform(0.05, 0.4, 3).tolist()), -np.inf)
+    for k in range(iterations):
+        if not running:
+            break
+        state: dict[str, list[tuple]] = {}
+        for (kc, r), (parameters, _) in running.items():
+            state.setdefault(kc, []).append((r, parameters))
+        held = spark.sparkContext.broadcast(state)
+        parts = dealt.mapInArrow(lambda batches, held=held: _partial_sums(batches, held.value), f"kc string, restart int, {', '.join(f'{x} double' for x in SUMS)}")
+        for row in parts.groupBy("kc", "restart").agg(*[F.sum(F.col(x).cast("decimal(28,12)")).cast("double").alias(x) for x in SUMS]).collect():
+            key, ratio = (row["kc"], row["restart"]), lambda a, b, top: float(np.clip(a / max(b, 1e-300), 0.001, top))
+            parameters = (ratio(row["first"], row["n"], 0.999), ratio(row["learned"], row["stayed"] + row["learned"], 0.999), ratio(row["guessed"], row["unknown"], 0.49), ratio(row["slipped"], row["known"], 0.49))
+            if row["ll"] - running[key][1] < tolerance or k == iterations - 1:
+                del running[key]
+                best[key[0]] = max(best.get(key[0], (-np.inf, 0, ())), (row["ll"], -key[1], parameters))
+            else:
+                running[key] = (parameters, row["ll"])
+        held.destroy()
+    dealt.unpersist()
+    counted.unpersist()
+    return spark.createDataFrame([(kc, *parameters) for kc, (_, _, parameters) in sorted(best.items())], PARAMETERS)
 
 
 def weighted_fallback(parameters: DataFrame, counts: DataFrame) -> DataFrame:

@@ -53,6 +53,22 @@ def test_unfitted_skills_take_the_weighted_mean(spark):
     assert abs(start(mean) - start(bkt.DEFAULTS)) > 0.01
 
 
+def test_fit_equals_the_local_fit_and_counts_equal_sequences(spark, monkeypatch):
+    rng, rows, own = np.random.default_rng(8), [], {}
+    for kc, n in (("a", 60), ("b", 3), ("c", 200)):
+        own[kc] = [(rng.random(k) < np.linspace(0.3, 0.9, k)).astype(int) for k in rng.integers(1, 9, n)]
+        rows += [(d, t, 0, kc, int(y)) for d, seq in enumerate(own[kc]) for t, y in enumerate(seq)]
+    train = spark.createDataFrame(rows, "d long, turn int, pos int, kc string, correct int")
+    monkeypatch.setattr(bkt, "CELLS", 400)  # several partitions and chunks
+    seen = []
+    monkeypatch.setattr(type(train), "repartition", lambda self, n, *cols, f=type(train).repartition: seen.append((n, cols, self.count())) or f(self, n, *cols))
+    got = {r.kc: r for r in bkt.fit(train).collect()}
+    for kc, seqs in own.items():
+        want = bkt.fit_skill(seqs, 221 + sum(kc.encode()))
+        assert np.allclose([got[kc][x] for x in want], list(want.values()), atol=1e-6, rtol=0)
+    assert [(n > 1, cols, rows) for n, cols, rows in seen] == [(True, ("kc", "seq"), len({(kc, tuple(s)) for kc, seqs in own.items() for s in seqs}))]
+
+
 def test_auc_with_ties(spark):
     turns = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 0, 0.5), (1, 3, 1, 0.9), (1, 4, 0, 0.1), (1, 5, 1, float("nan"))], "d long, turn int, correct int, p double")
     r = metrics.scores(turns).head()
