@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mentora.functions import text as T
-from mentora.operators import bkt, metrics
+from mentora.operators import bkt, metrics, ranks
 from mentora.operators import turns as U
 from mentora.plans.reports import REPORTS, REPORTS_SQL
 from mentora.plans.sql import SQL
@@ -76,12 +76,20 @@ def chat_contexts(spark, sf_dir):
 
 @query
 def prompt_batches(spark, sf_dir):
-    """Distinct user prompts in batches of 64, by order of md5."""
+    """Distinct user prompts counted in 256 buckets of md5; prompt_batch_members has the batches."""
     rows = A.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.md5("text").alias("h")).distinct()
     numbered = rows.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.count("*").alias("n"))
     return numbered.select("bucket", "n", F.ceil(F.col("n") / 64).cast("long").alias("batches"))
 
 
+@query
+def prompt_batch_members(spark, sf_dir):
+    """Distinct user prompts in batches of 64, by order of md5 over all."""
+    rows = A.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.md5("text").alias("h")).distinct()
+    placed = ranks.with_position(rows, F.substring("h", 1, 2), "h")
+    return placed.select("h", F.floor(F.col("position") / 64).cast("long").alias("batch"), (F.col("position") % 64).alias("place"))
+
+
 @query
 def observations_long(spark, sf_dir):
     return _obs(spark, sf_dir).select("d", "turn", F.col("pos").cast("long").alias("pos"), "kc", F.col("correct").cast("long").alias("correct"), "split")
@@ -214,12 +222,19 @@ def family_text_shares(spark, sf_dir):
 
 @query
 def order_ids(spark, sf_dir):
-    """A dense order number within each dialogue and the dialogue's offset over all, without a window over all rows."""
+    """A dense order number within each dialogue; global_order_ids has the number over all."""
     obs = _obs(spark, sf_dir)
     local = F.row_number().over(Window.partitionBy("d").orderBy("turn", "pos")) - 1
     return obs.select("d", "turn", F.col("pos").cast("long").alias("pos"), local.cast("long").alias("order_in_dialogue"))
 
 
+@query
+def global_order_ids(spark, sf_dir):
+    """A dense order number over all observations by dialogue, turn and skill; a bucket has 1000 dialogue numbers."""
+    placed = ranks.with_position(_obs(spark, sf_dir), F.floor(F.col("d") / 1000), "d", "turn", "pos")
+    return placed.select("d", "turn", F.col("pos").cast("long").alias("pos"), F.col("position").alias("order_id"))
+
+
 @query
 def turn_ranges(spark, sf_dir):
     rows = U.tagged_turns(A.annotated_turns(spark, sf_dir))
@@ -293,21 +308,36 @@ def majority_baseline(spark, sf_dir):
 
 @query
 def rotating_folds(spark, sf_dir):
-    """Five folds of orders by md5 rank within 256 hash buckets, so no window sees all rows."""
+    """Ranks of orders within 256 hash buckets modulo 5; rotating_fold_slices has the folds."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), _md5("221-", "o_orderkey").alias("h"))
     rank = F.row_number().over(Window.partitionBy(F.substring("h", 1, 2)).orderBy("h"))
     return rows.withColumn("fold", (rank % 5).cast("long")).groupBy("fold").agg(F.count("*").alias("n"), F.sum("d").alias("d_sum"))
 
 
+@query
+def rotating_fold_slices(spark, sf_dir):
+    """Train, validation and test slice of each of five rotations of the orders in md5 order."""
+    rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), _md5("221-", "o_orderkey").alias("h"))
+    slices = ranks.fold_slices(ranks.with_position(rows, F.substring("h", 1, 3), "h", "d"))
+    return slices.groupBy("fold", "slice").agg(F.count("*").alias("n"), F.sum("d").alias("d_sum"))
+
+
 @query
 def stratified_topup(spark, sf_dir):
-    """Five dialogues of each family by md5 order, those already used left out."""
+    """Five dialogues of each family by md5 order, those already used left out; stratified_shortfall counts these."""
     rows = A.profiles(spark, sf_dir).where("split = 'train'").withColumn("family", T.misconception_family(F.col("profile")))
     used = rows.where("d % 11 = 0").select("d")
     fresh = rows.join(used, "d", "left_anti").withColumn("h", _md5("draw-", "d"))
     return fresh.withColumn("k", F.row_number().over(Window.partitionBy("family").orderBy("h"))).where("k <= 5").select("family", "d", F.col("k").cast("long").alias("k"))
 
 
+@query
+def stratified_shortfall(spark, sf_dir, target=13):
+    """As many dialogues of each family by md5 order as the used ones fall short of the target."""
+    rows = A.profiles(spark, sf_dir).where("split = 'train'").withColumn("family", T.misconception_family(F.col("profile"))).withColumn("h", _md5("draw-", "d"))
+    return ranks.draw_shortfall(rows, rows.where("d % 11 = 0").select("family", "d"), target, "h").select("family", "d", "k")
+
+
 @query
 def standards_options(spark, sf_dir):
     """Sorted option lines of each domain of a two-level tree."""

@@ -96,6 +96,7 @@ SQL = {
     "dialogue_histories": f"{_COALESCED}, k AS (SELECT d, turn, CASE WHEN teacher <> '' THEN 'Teacher Turn ' || CAST(turn AS INT) || ': ' || teacher END AS t, CASE WHEN student <> '' THEN 'Student Turn ' || CAST(turn AS INT) || ': ' || student END AS s FROM l WHERE turn < last OR student <> ''), h AS (SELECT d, turn, t, string_agg(nullif(concat_ws(chr(10), t, s), ''), chr(10)) OVER (PARTITION BY d ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM k) SELECT d, CAST(turn AS BIGINT) AS turn, '[BEGIN DIALOGUE]' || chr(10) || concat_ws(chr(10), past, t) || chr(10) || '[END DIALOGUE]' AS history FROM h",
     "chat_contexts": "WITH x AS (SELECT conv_id, turn, role, count(*) OVER w AS n_before, coalesce(sum(length(text)) OVER w, 0) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, CAST(n_before AS BIGINT) AS n_before, CAST(chars AS BIGINT) AS chars_before FROM x WHERE role = 'assistant' AND n_before > 0",
     "prompt_batches": "WITH x AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE role = 'user') SELECT substr(h, 1, 2) AS bucket, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) / 64.0) AS BIGINT) AS batches FROM x GROUP BY 1",
+    "prompt_batch_members": "WITH x AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE role = 'user'), y AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS k FROM x) SELECT h, CAST(k // 64 AS BIGINT) AS batch, CAST(k % 64 AS BIGINT) AS place FROM y",
     "observations_long": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, kc, CAST(correct AS BIGINT) AS correct, split FROM obs",
     "apply_final_override": f"WITH {TURNS} SELECT d, turn, {_LABEL.format('og')} AS og, {_LABEL.format('correct')} AS correct FROM ov WHERE is_last",
     "final_override_audit": f"WITH {TURNS} SELECT {_LABEL.format('og')} || ' -> ' || {_LABEL.format('correct')} AS transition, CAST(count(*) AS BIGINT) AS n FROM ov WHERE is_last AND og IS NOT NULL GROUP BY 1",
@@ -117,6 +118,7 @@ SQL = {
     "family_loose_counts": f"WITH {_FAMILY} SELECT loose AS family, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1",
     "family_text_shares": f"WITH {_FAMILY} SELECT family, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT confusion) AS BIGINT) AS distinct_texts, round(CAST(count(DISTINCT confusion) AS DOUBLE) / count(*), 8) AS share FROM p GROUP BY family",
     "order_ids": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (PARTITION BY d ORDER BY turn, pos) - 1 AS BIGINT) AS order_in_dialogue FROM obs",
+    "global_order_ids": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (ORDER BY d, turn, pos) - 1 AS BIGINT) AS order_id FROM obs",
     "turn_ranges": f"WITH {TURNS} SELECT d, turn, CAST(sum(len(kcs)) OVER w - len(kcs) AS BIGINT) AS start, CAST(sum(len(kcs)) OVER w AS BIGINT) AS \"end\" FROM tag WINDOW w AS (PARTITION BY d ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "bkt_forward_fixed": f"WITH RECURSIVE {TURNS}, {PREDICT} SELECT d, turn, kc, CAST(correct AS BIGINT) AS correct, round(p, 9) AS p FROM pred",
     "turn_prob_mean": _turn_prob("avg(p)"),
@@ -127,6 +129,8 @@ SQL = {
     "weighted_fallback": f"{_STATS} SELECT " + ", ".join(f"round(sum(CAST(n_correct AS DOUBLE) / n / {k} * n) / sum(n), 8) AS {x}" for k, x in enumerate(("prior", "learns", "guesses", "slips"), 1)) + " FROM st",
     "majority_baseline": f"WITH {TURNS}, x AS (SELECT avg(CAST(correct AS INT)) AS share, count(*) AS n FROM tag) SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN share >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS majority, round(greatest(share, 1 - share), 8) AS accuracy FROM x",
     "rotating_folds": "WITH x AS (SELECT o_orderkey AS d, md5('221-' || CAST(o_orderkey AS VARCHAR)) AS h FROM orders), y AS (SELECT d, row_number() OVER (PARTITION BY substr(h, 1, 2) ORDER BY h) % 5 AS fold FROM x) SELECT CAST(fold AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS d_sum FROM y GROUP BY 1",
+    "rotating_fold_slices": "WITH x AS (SELECT o_orderkey AS d, row_number() OVER (ORDER BY md5('221-' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders), y AS (SELECT d, n, f, (k + n - CAST(floor(n * (CAST(f - 1 AS DOUBLE) / 5)) AS BIGINT)) % n AS k FROM x, range(1, 6) AS t(f)) SELECT CAST(f AS BIGINT) AS fold, CASE WHEN k < floor(n * CAST(0.65 AS DOUBLE)) THEN 'train' WHEN k < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS slice, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS d_sum FROM y GROUP BY 1, 2",
+    "stratified_shortfall": f"WITH {_FAMILY}, x AS (SELECT family, d, row_number() OVER (PARTITION BY family ORDER BY md5('draw-' || CAST(d AS VARCHAR))) AS k FROM p WHERE split = 'train' AND d % 11 <> 0), y AS (SELECT family, count(*) AS have FROM p WHERE split = 'train' AND d % 11 = 0 GROUP BY family) SELECT x.family, d, CAST(k AS BIGINT) AS k FROM x LEFT JOIN y ON x.family = y.family WHERE k <= 13 - coalesce(have, 0)",
     "stratified_topup": f"WITH {_FAMILY}, x AS (SELECT family, d, row_number() OVER (PARTITION BY family ORDER BY md5('draw-' || CAST(d AS VARCHAR))) AS k FROM p WHERE split = 'train' AND d % 11 <> 0) SELECT family, d, CAST(k AS BIGINT) AS k FROM x WHERE k <= 5",
     "standards_options": "SELECT r_name AS domain, string_agg('ID: ' || CAST(n_nationkey AS VARCHAR) || ', Description: ' || n_name, chr(10) ORDER BY 'ID: ' || CAST(n_nationkey AS VARCHAR) || ', Description: ' || n_name) AS options FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "lm_output_extract": "SELECT n_nationkey, '{\"result\": pi' || CAST(n_nationkey AS VARCHAR) || '}' AS result FROM nation",

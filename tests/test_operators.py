@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mentora.functions import text as T
-from mentora.operators import bkt, metrics
+from mentora.operators import bkt, metrics, ranks
 from mentora.operators.turns import apply_override, coalesce_turns, histories
 
 
@@ -69,6 +69,20 @@ def test_fit_equals_the_local_fit_and_counts_equal_sequences(spark, monkeypatch)
     assert [(n > 1, cols, rows) for n, cols, rows in seen] == [(True, ("kc", "seq"), len({(kc, tuple(s)) for kc, seqs in own.items() for s in seqs}))]
 
 
+def test_positions_folds_and_shortfall(spark):
+    keys = [f"{k * 7919 % 1000:03}" for k in range(23)]
+    placed = ranks.with_position(spark.createDataFrame([(k,) for k in keys], "h string"), F.substring("h", 1, 1), "h")
+    got = {(r.fold, r.h): r.slice for r in ranks.fold_slices(placed).collect()}
+    for fold in range(1, 6):
+        cut = int(23 * ((fold - 1) / 5))
+        turned = sorted(keys)[cut:] + sorted(keys)[:cut]
+        want = dict.fromkeys(turned[: int(23 * 0.65)], "train") | dict.fromkeys(turned[int(23 * 0.65) : int(23 * 0.8)], "validation") | dict.fromkeys(turned[int(23 * 0.8) :], "test")
+        assert {h: s for (f, h), s in got.items() if f == fold} == want
+    pool = spark.createDataFrame([(f, d) for f, ds in (("a", range(10)), ("b", range(10, 12)), ("c", range(20, 30))) for d in ds], "family string, d long")
+    used = pool.where("d in (0, 1, 20, 21, 22, 23)")
+    assert {(r.family, r.d) for r in ranks.draw_shortfall(pool, used, 4, "d").collect()} == {("a", 2), ("a", 3), ("b", 10), ("b", 11)}
+
+
 def test_auc_with_ties(spark):
     turns = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 0, 0.5), (1, 3, 1, 0.9), (1, 4, 0, 0.1), (1, 5, 1, float("nan"))], "d long, turn int, correct int, p double")
     r = metrics.scores(turns).head()
