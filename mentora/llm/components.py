@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentora.llm.storage import write_table
+from mentora.llm.storage import Scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,10 +34,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
-    nodes = write_table(halves(edges).select(F.col("a").alias("node")).distinct(), "component-nodes")
-    now = write_table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
+    scratch = Scratch(edges.sparkSession)
+    nodes = scratch.write(halves(edges).select(F.col("a").alias("node")).distinct(), "component-nodes")
+    now = scratch.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
     before = None
     while (at := state(now)) != before:
         before = at
-        now = write_table(small_star(large_star(now)), "component-edges")
+        now = scratch.write(small_star(large_star(now)), "component-edges")
+        scratch.drop_all_but(nodes, now)
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

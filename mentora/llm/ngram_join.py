@@ -6,35 +6,43 @@ tile splits the hash space into D + 1 + z cells, so similar sets agree on at lea
 such a cell agrees. z exceeds the cells that a set usually leaves empty; sets with more empty cells meet on these too.
 So no similar pair is missed, and sets that merely share a common passage rarely meet.
 
-Where sets meet, each is first compared with the least set there: bit counts of hashed bitmaps bound the overlap from
-above, and exact intersection of the sorted arrays decides. Further pairs of a meeting place matter only if its sets
-still lie in different components; these are compared as well, in blocks.
+Where sets meet, hashed bitmaps of about eight bits an element bound the overlap from above: first of each set with the
+least set there, then, where a place still holds sets that nothing connects, of the rest in blocks. Only pairs that
+connect something new are given out, n - 1 at most from n sets, so the candidates are a forest over all pairs that the
+bitmaps allow. Its trees are clusters; two similar sets always lie in the same one. The sorted arrays of a cluster then
+go to one task (a large cluster's to several, in parts of bounded size), which decides by exact intersection, again
+only for sets that nothing links yet.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mentora.llm.components import connected_components
-from mentora.llm.storage import arrow_batches, drop_finished_shuffles, write_table
+from mentora.llm.storage import Scratch, arrow_batches
 from mentora.llm.words import distinct_rows, mix, shingle_hashes, text_slices, word_hashes
 
-BITMAP_BITS = 2048
-#: A meeting place with more sets is cut into blocks of about this size, and every two blocks are compared in a task.
+BITS_PER_ELEMENT = 8
+LEAST_BITS = 256
+#: A meeting place with more sets, or more bytes of bitmaps, is cut into blocks, and every two blocks meet in a task.
 BLOCK = 2048
+BLOCK_BYTES = 8 << 20
+#: A cluster with more elements in all its arrays is cut into parts.
+PART_ELEMENTS = 2 << 20
 #: Distinct sets that a task remembers in order to send each once.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 FILTER_BITS = 1 << 24
-#: Rows of a batch in verification, as each holds the arrays of two whole sets.
-VERIFY_ROWS = 128
-#: Rows of a batch of texts. Two batches may be held at once, before and after leaving out the texts without a part.
+#: Rows of a batch of texts.
 TEXT_ROWS = 512
+#: Rows of a batch of bitmaps or arrays.
+SET_ROWS = 1024
 
 
 class Tiles:
@@ -104,12 +112,18 @@ def meeting_keys(values: np.ndarray, at: np.ndarray, tiles: Tiles) -> tuple[np.n
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Bit h mod BITMAP_BITS is set for every hash h."""
-    bits = np.zeros(BITMAP_BITS, bool)
-    bits[(values % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    """Bit h mod m is set for every hash h; m is the power of two next above BITS_PER_ELEMENT bits an element."""
+    size = max(LEAST_BITS, 1 << (BITS_PER_ELEMENT * max(len(values), 1) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(values % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(bits)
 
 
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """A bitmap as 64-bit words, folded to as many: what it would be with that many bits."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, words), axis=0)
+
+
 def most_overlap(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Upper bound of the intersection: each bit in which two bitmaps differ comes from an element of one set alone."""
     return (size_a + size_b - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)) // 2
@@ -149,30 +163,114 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _close_pairs(tile: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of a tile from different components whose bitmaps allow enough overlap; between its two blocks, or within its one."""
-    size, component, block, node = (tile.column(c).to_numpy() for c in ("size", "component", "own", "node"))
-    bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
-    within, out = bool(tile.column("i")[0] == tile.column("j")[0]), []
-    for x in range(len(size) - 1):
-        rest = slice(x + 1, None)
-        near = (component[rest] != component[x]) & (np.minimum(size[rest], size[x]) * den >= num * np.maximum(size[rest], size[x]))
-        y = np.flatnonzero(near if within else near & (block[rest] != block[x])) + x + 1
-        if len(y):
-            y = y[_enough(most_overlap(bits[x], bits[y], size[x], size[y]), size[x], size[y], num, den)]
-            out += [(min(a, b), max(a, b)) for a, b in ((int(node[x]), int(node[k])) for k in y.tolist())]
-    return out
+def joining_links(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join different components, at most one fewer than there are components.
 
+    ``linked(x, rest)`` marks which of ``rest`` link with x. Every x is compared with what nothing has reached yet, so
+    the links connect all that links connect.
+    """
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(component))
+    while len(rest) > 1:
+        own = component[rest] == component[rest[0]]
+        queue, rest = rest[own].tolist(), rest[~own]
+        while queue and len(rest):
+            x = queue.pop()
+            reached = rest[linked(x, rest)]
+            if len(reached):
+                names, at = np.unique(component[reached], return_index=True)
+                out += [(x, int(y)) for y in reached[at]]
+                own = np.isin(component[rest], names)
+                queue += rest[own].tolist()
+                rest = rest[~own]
+    return out
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Groups of ``docs`` (doc_id, text) linked by Jaccard similarity of at least num / den of their word shingles.
 
-    Returns doc_id, n_shingles and component_id, the least doc_id reachable by links. A-Z count as a-z and words end at
-    ASCII white space; a text with fewer words than ``words`` is one shingle. A null, empty or blank text has no
-    shingle and no link. A null doc_id stays null with its own or its group's component; repeated rows are kept each;
-    an empty table gives no rows; other columns are ignored.
-    """
+def _possible_links(tile: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
+    """Joining links of a tile by bitmaps; between its two blocks, or within its one."""
+    size, component, block = (tile.column(c).to_numpy() for c in ("size", "component", "own"))
+    raw = tile.column("bits").to_pylist()
+    words = min(map(len, raw)) // 8
+    bits = np.stack([folded(x, words) for x in raw])
+    within = bool(tile.column("i")[0] == tile.column("j")[0])
+
+    def linked(x: int, rest: np.ndarray) -> np.ndarray:
+        near = np.minimum(size[rest], size[x]) * den >= num * np.maximum(size[rest], size[x])
+        if not within:
+            near &= block[rest] != block[x]
+        y = rest[near]
+        near[near] = _enough(most_overlap(bits[x], bits[y], size[x], size[y]), size[x], size[y], num, den)
+        return near
+
+    return joining_links(component, linked)
+
+
+class _Overlaps:
+    """Exact intersection sizes of one sorted array with many."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray):
+        self.size, n = np.diff(at), len(at) - 1
+        _, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
+        self.common = int((counts == n).sum())
+        use = (counts > 1) & (counts < n)  # the rest overlap with no set, or with every set
+        names = np.cumsum(use) - 1
+        keep = use[ids]
+        self.ids, self.at = names[ids[keep]], np.concatenate([[0], np.cumsum(keep)])[at]
+        self.marked = np.zeros(int(use.sum()), bool)
+        self._gather(np.arange(n))
+
+    def _gather(self, rows: np.ndarray) -> None:
+        length = self.at[rows + 1] - self.at[rows]
+        self.rows, self.ends = rows, np.concatenate([[0], np.cumsum(length)])
+        self.held = self.ids[np.repeat(self.at[rows] - self.ends[:-1], length) + np.arange(self.ends[-1])]
+
+    def of(self, x: int, rest: np.ndarray) -> np.ndarray:
+        """Intersection sizes of set x with the sets ``rest``, which are among those of the call before."""
+        if len(rest) < 0.7 * len(self.rows):
+            self._gather(rest)
+        own = self.ids[self.at[x] : self.at[x + 1]]
+        self.marked[own] = True
+        hits = np.concatenate([[0], np.cumsum(self.marked[self.held])])
+        self.marked[own] = False
+        both = hits[self.ends[1:]] - hits[self.ends[:-1]]
+        return self.common + both[np.searchsorted(self.rows, rest)]
+
+
+def _exact_links(tile: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, least set reached by links) of a tile's sets that links reach; between its two parts, or within its one."""
+    node, component, part = (tile.column(c).to_numpy() for c in ("node", "component", "own"))
+    lists = tile.column("hashes").combine_chunks()
+    at = lists.offsets.to_numpy()
+    overlaps = _Overlaps(lists.values.to_numpy()[at[0] : at[-1]], (at - at[0]).astype(np.int64))
+    size, within = overlaps.size, bool(tile.column("i")[0] == tile.column("j")[0])
+
+    def linked(x: int, rest: np.ndarray) -> np.ndarray:
+        found = _enough(overlaps.of(x, rest), size[x], size[rest], num, den)
+        return found if within else found & (part[rest] != part[x])
+
+    parent = list(range(len(node)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = joining_links(component, linked)
+    for x, y in links:
+        a, b = root(x), root(y)
+        if node[a] <= node[b]:
+            parent[b] = a
+        else:
+            parent[a] = b
+    moved = sorted({x for link in links for x in link if root(x) != x})
+    return node[moved], node[[root(x) for x in moved]]
+
+
+def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and (node, component) of the sets that links reach."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tiles = Tiles(num, den)
 
@@ -200,21 +298,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                 rows, keys = meeting_keys(values, np.concatenate([[0], np.cumsum(size[fresh])]), tiles)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whole[fresh][rows].view(np.int64))], ["key", "node"])
 
-    with arrow_batches(spark, TEXT_ROWS):
-        base = write_table(docs.mapInArrow(sets, "doc_id long, n_shingles long, node long"), "sets")
     place = Window.partitionBy("key")
     met = docs.mapInArrow(meetings, "key long, node long").withColumn("pivot", F.min("node").over(place)).withColumn("last", F.max("node").over(place))
     with arrow_batches(spark, TEXT_ROWS):
-        met = write_table(met.where("pivot != last").distinct().drop("last"), "meetings")
-    drop_finished_shuffles(spark)
+        base = scratch.write(docs.mapInArrow(sets, "doc_id long, n_shingles long, node long"), "sets")
+        met = scratch.write(met.where("pivot != last").distinct().drop("last"), "meetings")
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # Without repeated rows each set has one owning row, and no sort of whole sets is needed to make them distinct.
     repeated = bool(base.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").head(1))
 
-    def from_texts(nodes: DataFrame, make, schema: str, name: str) -> DataFrame:
-        """A table for the sets ``nodes``, made anew from the one text of each that owns it."""
-        wanted = write_table(nodes.join(owners, "node"), "wanted-sets")
+    def from_texts(wanted: DataFrame, make, schema: str) -> DataFrame:
+        """``wanted`` with more columns for its sets (node), made anew from the one text of each that owns it."""
+        wanted = scratch.write(wanted.join(owners, "node"), "wanted-sets")
         chosen = spark.sparkContext.broadcast(_ids_filter(wanted))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +323,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                     yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
         rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(read, f"doc_id long, node long, {schema}")
+        if repeated:
+            rows = rows.dropDuplicates(["doc_id", "node"])
         # A set whose every row lacks a doc_id is owned by such a row.
-        rows = rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.node") == F.col("w.node"))).select("r.*")
-        with arrow_batches(spark, TEXT_ROWS):
-            return write_table((rows.dropDuplicates(["doc_id", "node"]) if repeated else rows).drop("doc_id"), name)
+        same = F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.node") == F.col("w.node"))
+        return rows.alias("r").join(wanted.alias("w"), same).select("r.*", *[f"w.{c}" for c in wanted.columns if c not in ("doc_id", "node")]).drop("doc_id")
 
     def bitmaps(values: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
         return {"size": pa.array(np.diff(at)), "bits": pa.array([bitmap(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}
@@ -240,88 +337,126 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in ("a_bits", "b_bits"))
             n, m = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
-            kept = pa.array(_enough(most_overlap(a, b, n, m), n, m, num, den))
+            overlap = np.zeros(batch.num_rows, np.int64)
+            for k, (a, b) in enumerate(zip(batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist(), strict=True)):
+                words_here = min(len(a), len(b)) // 8
+                overlap[k] = most_overlap(folded(a, words_here), folded(b, words_here), n[k], m[k])
+            kept = pa.array(_enough(overlap, n, m, num, den))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            la, ra, lv, rv = left.offsets.to_numpy(), right.offsets.to_numpy(), left.values.to_numpy(), right.values.to_numpy()
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                both = np.concatenate([lv[la[i] : la[i + 1]], rv[ra[i] : ra[i + 1]]])
-                both.sort(kind="stable")  # merges two sorted runs
-                keep[i] = _enough(int((both[1:] == both[:-1]).sum()), int(la[i + 1] - la[i]), int(ra[i + 1] - ra[i]), num, den)
-            kept = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        for tile in _groups(batches, ("key", "i", "j")):
+            node = tile.column("node").to_numpy()
+            found = [(max(a, b), min(a, b)) for a, b in ((int(node[x]), int(node[y])) for x, y in _possible_links(tile, num, den))]
+            if new := [x for x in found if x not in sent]:
+                sent.update(new)
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["a", "b"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _groups(batches, ("cluster", "i", "j")):
+            a, b = _exact_links(tile, num, den)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def tiled(rows: DataFrame, key: str, others: Column) -> DataFrame:
+        """Rows (own: their block) copied to every tile of their block with the blocks ``others``, each tile in one task."""
+        rows = rows.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+        return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+    def block_of(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
 
-    def side(table: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
-        return table.select(F.col("node").alias(key), *[F.col(x).alias(y) for x, y in names.items()])
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs whose bitmaps allow enough overlap."""
-        with_bits = pairs.join(side(of_nodes, "a", {"size": "a_size", "bits": "a_bits"}), "a").join(side(of_nodes, "b", {"size": "b_size", "bits": "b_bits"}), "b")
-        return with_bits.mapInArrow(possible, "a long, b long")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Pairs with enough overlap, by their sorted arrays."""
-        pairs = write_table(pairs, "close-pairs")
-        sets_of = from_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), arrays, "hashes array<long>", "set-arrays")
-        with_arrays = pairs.join(side(sets_of, "a", {"hashes": "left"}), "a").join(side(sets_of, "b", {"hashes": "right"}), "b")
-        with arrow_batches(spark, VERIFY_ROWS):
-            linked = write_table(with_arrays.mapInArrow(verify, "a long, b long"), "links")
-        del with_arrays
-        drop_finished_shuffles(spark)
-        return linked
-
-    of_nodes = from_texts(met.select("node").distinct(), bitmaps, "size long, bits binary", "bitmaps")
+    with arrow_batches(spark, TEXT_ROWS):
+        of_nodes = scratch.write(from_texts(met.select("node").distinct(), bitmaps, "size long, bits binary"), "bitmaps")
+    # Each set of a place with the least one.
     star = met.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = links(bounded(star))
-    component = write_table(connected_components(found), "components")
-
-    # Places whose sets still lie in different components.
-    split = met.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = split.withColumn("n", F.count("*").over(place)).withColumn("least", F.min("component").over(place)).withColumn("most", F.max("component").over(place))
-    split = write_table(split.where("least != most and n > 2").select("key", "node", "pivot", "component", "n"), "split-places")
-    if split.head(1):
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        tiles_of = split.withColumn("blocks", blocks).withColumn("own", own).select("key", "node", "component", "own", other)
-        tiles_of = tiles_of.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-        tiles_of = tiles_of.join(of_nodes, "node")
-        tiles_of = tiles_of.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set[tuple[int, int]] = set()
-            for tile in _groups(batches, ("key", "i", "j")):
-                if pairs_here := [x for x in _close_pairs(tile, num, den) if x not in sent]:
-                    sent.update(pairs_here)
-                    if len(sent) > REMEMBERED:
-                        sent.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs_here, strict=True)], ["a", "b"])
-
-        pairs = tiles_of.mapInArrow(compare, "a long, b long").distinct()
-        more = links(pairs)
-        if more.head(1):
-            component = write_table(connected_components(found.union(more)), "components")
-
-    owner = owners.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    for x in ("a", "b"):
+        star = star.join(of_nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")), x)
+    with arrow_batches(spark, SET_ROWS):
+        candidates = scratch.write(star.mapInArrow(possible, "a long, b long"), "candidates")
+    cluster = scratch.write(connected_components(candidates), "clusters")
+
+    # Places whose sets the candidates leave apart.
+    split = met.join(cluster, "node", "left").withColumn("component", F.coalesce("component", "node")).join(of_nodes.select("node", F.length("bits").alias("bytes")), "node")
+    for name, value in {"n": F.count("*"), "bytes": F.sum("bytes"), "least": F.min("component"), "most": F.max("component")}.items():
+        split = split.withColumn(name, value.over(place))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    split = split.where("least != most and n > 2").select("key", "node", "component", blocks.alias("blocks"))
+    tiles_of = split.withColumn("own", block_of("blocks")).join(of_nodes, "node")
+    with arrow_batches(spark, SET_ROWS):
+        more = scratch.write(tiled(tiles_of, "key", F.sequence(F.lit(0), F.col("blocks") - 1)).drop("blocks").mapInArrow(compare, "a long, b long"), "candidates")
+    if more.head(1):
+        cluster = scratch.write(connected_components(candidates.union(more)), "clusters")
+
+    # Clusters: their arrays, once each, and in every part of a large cluster also those of its least set.
+    total = cluster.join(of_nodes.select("node", "size"), "node").groupBy("component").agg(F.ceil(F.sum("size") / PART_ELEMENTS).cast("int").alias("blocks"))
+    total = scratch.write(total, "cluster-sizes")
+    members = cluster.join(total, "component").select("node", F.col("component").alias("cluster"), "blocks").withColumn("own", block_of("blocks"))
+    members = members.withColumn("others", F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
+    members = members.withColumn("component", F.col("node"))
+
+    def decided(wanted: DataFrame, alone: bool) -> DataFrame:
+        rows = from_texts(wanted, arrays, "hashes array<long>")
+        if alone:
+            rows = rows.withColumn("own", F.explode("others")).withColumn("others", F.array("own"))
+        with arrow_batches(spark, TEXT_ROWS):
+            return scratch.write(tiled(rows, "cluster", F.col("others")).drop("others").mapInArrow(decide, "a long, b long"), "links")
+
+    links = decided(members.drop("blocks"), True)
+    component = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if total.where("blocks > 1").head(1):
+        component = scratch.write(connected_components(links), "components")
+        apart = members.where("blocks > 1").drop("component", "others").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ones = apart.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("cluster")
+        apart = apart.join(open_ones, "cluster").withColumn("others", F.expr("filter(sequence(0, blocks - 1), x -> x != own)")).drop("blocks")
+        component = scratch.write(connected_components(links.union(decided(apart, False))), "components")
+    else:
+        component = scratch.write(component, "components")
+    scratch.drop_all_but(base, component)
+    return base, component
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """Groups of ``docs`` (doc_id, text) linked by Jaccard similarity of at least num / den of their word shingles.
+
+    Returns doc_id, n_shingles and component_id, the least doc_id reachable by links. A-Z count as a-z and words end at
+    ASCII white space; a text with fewer words than ``words`` is one shingle. A null, empty or blank text has no
+    shingle and no link. A null doc_id stays null with its own or its group's component; repeated rows are kept each;
+    an empty table gives no rows; other columns, whatever their names, are ignored; long texts are taken whole.
+    """
+    base, component = _sets_and_groups(docs, words, num, den)
+    owner = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = owner.join(least, "component").select("node", "component_id")
     return base.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that have the least doc_id of their group, with all their columns.
+    """One row of each group of ``docs``, with all its columns: that with the least doc_id, a null one last.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without doc_id stay.
+    Rows are judged by their own text, so a doc_id that stands on different texts keeps each text that has no near
+    copy. Of rows equal in doc_id and set one stays, whichever. Rows without a word are in no group and all stay.
+    Columns keep their names and types; an empty table stays empty.
     """
-    groups = write_table(jaccard_components(docs, words, num, den), "groups")
-    extra = groups.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(extra.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_anti")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    base, component = _sets_and_groups(docs, words, num, den)
+    rows = base.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    rows = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chosen = rows.groupBy("component").agg(F.min(F.struct("first", "node")).alias("x")).select(F.col("x.first.doc_id").alias("doc"), F.col("x.node").alias("set"), F.lit(True).alias("first"))
+    own = {"row": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "doc": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    packed = docs.select(*[v.alias(k) for k, v in own.items()])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, at in text_slices(batch.column("text")):
+                _, offsets, whole = document_sets(data, at, words)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("row", "doc")), pa.array(whole.view(np.int64), mask=np.diff(offsets) == 0)], ["row", "doc", "set"])
+
+    with_sets = packed.mapInArrow(name, StructType([packed.schema["row"], packed.schema["doc"], StructField("set", LongType())]))
+    marked = with_sets.alias("r").join(chosen.alias("c"), (F.col("r.set") == F.col("c.set")) & F.col("r.doc").eqNullSafe(F.col("c.doc")), "left").where("r.set is null or c.first").select("r.*")
+    if base.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").head(1):
+        marked = marked.where("set is null").unionByName(marked.where("set is not null").dropDuplicates(["doc", "set"]))
+    return marked.select("row.*")

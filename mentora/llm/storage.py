@@ -6,8 +6,8 @@ written there cuts the lineage, so a lost executor costs a read instead of a rec
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,13 +17,19 @@ from contextlib import contextmanager
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Only for sessions of one machine, such as tests, that name no shared folder.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; only where that is unset, as in tests, a local default."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, a local default for local sessions only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_DEFAULT
     if "://" not in root:
         root = f"file://{os.path.abspath(root.removeprefix('file:'))}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,30 +37,46 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read from there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder that one operator writes; those that its result doesn't read are deleted at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """``kept`` are tables of this object. Files that can't be deleted stay, as they do no harm."""
+        read = {os.path.dirname(f) for df in kept for f in df.inputFiles()}
+        for path in self.paths:
+            if not any(x.rstrip("/").endswith(path.rsplit("/", 1)[1]) for x in read):
+                fs, where = file_system(path)
+                try:
+                    fs.delete_dir(where)
+                except OSError:
+                    continue
+        self.paths = [p for p in self.paths if any(x.rstrip("/").endswith(p.rsplit("/", 1)[1]) for x in read)]
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside hand their Python functions at most ``rows`` rows at a time."""
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs run inside hand their Python functions at most ``rows`` rows, and about ``size`` bytes, at a time."""
+    before = {k: spark.conf.get(k) for k in (BATCH_ROWS, BATCH_BYTES)}
+    had = int(before[BATCH_ROWS])
+    spark.conf.set(BATCH_ROWS, str(min(rows, had) if had > 0 else rows))
+    spark.conf.set(BATCH_BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(BATCH_ROWS, before)
-
-
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect plans that nothing refers to any more, upon which Spark deletes their shuffle files.
-
-    Without it they stay on the executors' disks until the driver happens to collect.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
