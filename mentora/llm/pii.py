@@ -1,9 +1,10 @@
 """Personal data by patterns and by bootstrapped contexts, with DataFrame functions alone.
 
-Seeds are what the four base patterns find. The words before and after them are lexical patterns; a pattern's score
-is the share of all its occurrences in the corpus that stand beside known identifiers, an instance's score is that of
-its best pattern. Both are computed in turn for a few rounds over the graph of patterns and instances; candidates of
-looser forms whose score ends high enough are added to the base spans.
+Seeds are what the four base patterns find, and long hexadecimal keys in quotes after a name and a sign. The word before
+them, the two words before (a field's label and sign, say) and the word after are lexical patterns; characters glued to
+an identifier, such as quotes, are passed over. A pattern's score is the share of all its occurrences in the corpus that
+stand beside known identifiers, an instance's score is that of its best pattern. Both are computed in turn for a few
+rounds over the graph of patterns and instances; candidates of looser forms whose score ends high enough are added.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentora.llm.storage import write_table
+from mentora.llm.storage import Scratch
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Secrets (keys, access tokens, passwords) are only ever added spans.
+KINDS = (*BASE_KINDS, "secret")
 # The lookbehind keeps a scan from starting anew inside a run that has failed from its start, and possessive
 # quantifiers from going back; the matches are those of the plain patterns.
 BASE = {
@@ -24,17 +27,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+SECRET_SEED = r"(?<=[A-Za-z_]\x20?[=:]\x20?[\x22\x27])[0-9A-Fa-f]{32,128}+(?=[\x22\x27])"
+SECRET_SEED_PRESENT = r"[=:]\x20?[\x22\x27][0-9A-Fa-f]{32}"
 #: A quick test that every text with a match passes.
 PRESENT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 CANDIDATES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?)[A-Za-z0-9-]++)++",
     "card": BASE["card"],
     "phone": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,256}+(?![A-Za-z0-9_+/-])",
 }
-CANDIDATE_PRESENT = {"email": r"(?:at\]|at\)|at\})", "card": PRESENT["card"], "phone": r"[0-9][\x20.-][0-9]"}
+CANDIDATE_PRESENT = {"email": r"(?:at\]|at\)|at\})", "card": PRESENT["card"], "phone": r"[0-9][\x20.-][0-9]", "secret": r"[A-Za-z0-9_+/-]{16}"}
 ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_SCORE = 0.6
+WORD_CHARS = 32
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -76,7 +83,12 @@ def _octets(value: Column) -> Column:
 
 
 VALID = {"email": lambda v: F.lit(True), "ip": _octets, "card": lambda v: luhn(digits_of(v)), "phone": lambda v: F.length(digits_of(v)).between(9, 15)}
-CANDIDATE_VALID = {"email": lambda v: F.lit(True), "card": lambda v: F.length(digits_of(v)).between(13, 19), "phone": lambda v: F.length(digits_of(v)).between(9, 15)}
+CANDIDATE_VALID = {
+    "email": lambda v: F.lit(True),
+    "card": lambda v: F.length(digits_of(v)).between(13, 19),
+    "phone": lambda v: F.length(digits_of(v)).between(9, 15),
+    "secret": lambda v: (F.length(digits_of(v)) >= 4) & v.rlike("[A-Za-z]"),
+}
 
 
 def _valid(spans: Column, test: Callable[[Column], Column]) -> Column:
@@ -89,64 +101,88 @@ def _count(spans: str, kind: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All valid base spans by kind, then start."""
-    return F.concat(*[_valid(find_spans(text, k, BASE[x], PRESENT[x]), VALID[x]) for k, x in enumerate(KINDS)])
+    return F.concat(*[_valid(find_spans(text, k, BASE[x], PRESENT[x]), VALID[x]) for k, x in enumerate(BASE_KINDS)])
 
 
 def candidate_spans(text: Column) -> Column:
     return F.concat(*[_valid(find_spans(text, KINDS.index(x), p, CANDIDATE_PRESENT[x]), CANDIDATE_VALID[x]) for x, p in CANDIDATES.items()])
 
 
+def _short(word: Column) -> Column:
+    return F.substring(F.lower(word), 1, WORD_CHARS)
+
+
 def _with_contexts(text: Column, spans: Column) -> Column:
-    """The word before and the word after each span, lower-cased, at most 32 characters, null at the text's ends."""
+    """The spans with their patterns: word before, two words before and word after, lower-cased, at most WORD_CHARS
+    characters of each; null at the text's ends. Characters glued to the span are passed over."""
 
     def near(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-        right = F.substring(text, s["end"] + 1, F.lit(40))
-        word = lambda x, p: F.nullif(F.substring(F.lower(F.regexp_extract(x, p, 1)), 1, 32), F.lit(""))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word(left, r"([^\x20\n\t\r]+)[\x20\n\t\r]*$").alias("before"), word(right, r"^[\x20\n\t\r]*([^\x20\n\t\r]+)").alias("after"))
+        left = F.substring(text, F.greatest(s["start"] - 159, F.lit(1)), F.least(s["start"], F.lit(160)))
+        right = F.substring(text, s["end"] + 1, F.lit(80))
+        word = lambda x, p, group=1: F.nullif(_short(F.regexp_extract(x, p, group)), F.lit(""))
+        two = r"(\S+)\s+(\S+)\s+\S*$"
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word(left, r"(\S+)\s+\S*$").alias("before"), F.concat(word(left, two), F.lit(" "), word(left, two, 2)).alias("before2"), word(right, r"^\S*\s+(\S+)").alias("after"))
 
     return F.transform(spans, near)
 
 
 def _spans_table(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, base and cands of every row; row_key is equal for equal rows only."""
+    """doc_id, row_key, base, seeds and cands of every row; doc_id and row_key together are equal for equal rows only."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("row_key", F.xxhash64("text"))
+    apart = lambda column, others: F.filter(column, lambda c: ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("cands", candidate_spans(F.col("text")))
-    apart = F.filter("cands", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.select("doc_id", "row_key", _with_contexts(F.col("text"), F.col("base")).alias("base"), _with_contexts(F.col("text"), apart).alias("cands"))
+    rows = rows.withColumn("seeds", apart(find_spans(F.col("text"), KINDS.index("secret"), SECRET_SEED, SECRET_SEED_PRESENT), "base"))
+    rows = rows.withColumn("cands", apart("cands", F.concat("base", "seeds")))
+    return rows.select("doc_id", "row_key", *[_with_contexts(F.col("text"), F.col(c)).alias(c) for c in ("base", "seeds", "cands")])
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """How often every word (lower-cased, 32 characters at most) occurs in the corpus."""
-    word = F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x20\n\t\r]+")).alias("word")
-    return docs.select(word).where("word != ''").groupBy(F.substring("word", 1, 32).alias("word")).agg(F.count("*").alias("total"))
+def _pattern_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How often the words and word pairs ``wanted`` (word) occur in the corpus."""
+    words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), _short)
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    split = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").select(words.alias("words"))
+    return split.select(F.explode(F.concat("words", pairs)).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
 
 
 def discover(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Candidates of ``spans`` that high-confidence patterns vouch for: row_key, kind, start, end, value."""
-    one = lambda column, seed: spans.select("row_key", F.explode(column).alias("s"), F.lit(seed).alias("seed")).select("row_key", "s.*", "seed")
-    found = one("base", 1.0).union(one("cands", 0.0))
+    """Candidates of ``spans`` that high-confidence patterns vouch for: doc_id, row_key, kind, start, end, value.
+
+    Patterns beside fewer than MIN_SUPPORT different instances can't vouch for any and are not counted in the corpus.
+    """
+    scratch = Scratch(docs.sparkSession)
+    one = lambda column, seed: spans.select("doc_id", "row_key", F.explode(column).alias("s"), F.lit(seed).alias("seed")).select("doc_id", "row_key", "s.*", "seed")
+    found = one("base", 1.0).union(one("seeds", 1.0)).union(one("cands", 0.0))
     key = F.lower(F.col("value"))
-    edges = found.select("kind", key.alias("instance"), "seed", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))).alias("p")).select("kind", "instance", "seed", "p.side", "p.word").where("word is not null")
-    edges = edges.groupBy("kind", "side", "word", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    edges = write_table(edges.join(_word_counts(docs), "word"), "pattern-edges")
+    sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("word")) for x in ("before", "before2", "after")])
+    edges = found.select("kind", key.alias("instance"), "seed", F.explode(sides).alias("p")).select("kind", "instance", "seed", "p.side", "p.word").where("word is not null")
+    edges = scratch.write(edges.groupBy("kind", "side", "word", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "all-edges")
+    enough = edges.groupBy("kind", "side", "word").agg(F.count("*").alias("instances")).where(F.col("instances") >= MIN_SUPPORT).drop("instances")
+    edges = edges.join(enough, ["kind", "side", "word"])
+    edges = scratch.write(edges.join(_pattern_counts(docs, enough.select("word").distinct()), "word"), "pattern-edges")
     instances = edges.groupBy("kind", "instance").agg(F.max("seed").alias("score"))
     for _ in range(ROUNDS):
         known = F.col("score") >= MIN_SCORE
         patterns = edges.join(instances, ["kind", "instance"]).groupBy("kind", "side", "word").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"), F.sum(F.when(known, 1).otherwise(0)).alias("support"))
         patterns = patterns.select("kind", "side", "word", F.when(F.col("support") >= MIN_SUPPORT, F.least("confidence", F.lit(1.0))).otherwise(0.0).alias("weight"))
-        instances = write_table(edges.join(patterns, ["kind", "side", "word"]).groupBy("kind", "instance").agg(F.greatest(F.max("seed"), F.max("weight")).alias("score")), "instances")
+        instances = scratch.write(edges.join(patterns, ["kind", "side", "word"]).groupBy("kind", "instance").agg(F.greatest(F.max("seed"), F.max("weight")).alias("score")), "instances")
     good = instances.where(F.col("score") >= MIN_SCORE)
-    return found.where("seed = 0").withColumn("instance", key).join(good, ["kind", "instance"], "left_semi").select("row_key", "kind", "start", "end", "value").distinct()
+    out = scratch.write(found.where("seed = 0").withColumn("instance", key).join(good, ["kind", "instance"], "left_semi").select("doc_id", "row_key", "kind", "start", "end", "value").distinct(), "discovered")
+    scratch.drop_all_but(out)
+    return out
+
+
+def _same_row(left: str, right: str) -> Column:
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.row_key") == F.col(f"{right}.row_key"))
 
 
 def _all_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, base and spans (base and discovered, by kind and start) of every row."""
-    table = write_table(_spans_table(docs), "spans")
-    extra = discover(docs, table).groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "end", "value")).alias("extra"))
-    bare = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return table.join(extra, "row_key", "left").select("doc_id", "row_key", bare.alias("base"), F.array_sort(F.concat(bare, F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+    """doc_id, row_key, base and spans (base, seeds and discovered, by kind and start) of every row."""
+    table = Scratch(docs.sparkSession).write(_spans_table(docs), "spans")
+    extra = discover(docs, table).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("kind", "start", "end", "value")).alias("extra"))
+    bare = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    rows = table.alias("t").join(extra.alias("x"), _same_row("t", "x"), "left").select("t.*", "x.extra")
+    return rows.select("doc_id", "row_key", bare("base").alias("base"), F.array_sort(F.concat(bare("base"), bare("seeds"), F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
 
 
 def _text_of(spans: Column) -> Column:
@@ -157,29 +193,32 @@ def _text_of(spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Personal data in every text of ``docs`` (doc_id, text).
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans, all spans as
-    kind:start:end joined by commas, by kind and start in code points. A null text counts as empty; a null doc_id
-    stays null; repeated rows are reported each; an empty table gives no rows; other columns are ignored.
+    Returns doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans, all spans as
+    kind:start:end joined by commas, by kind and start in code points, and n_spans, their number. A null text counts as
+    empty; a null doc_id stays null; repeated rows are reported each and count as often as evidence; texts are searched
+    whole; an empty table gives no rows; other columns, whatever their names, are ignored. Finding the places of n spans
+    in one text takes time in n * n.
     """
     rows = _all_spans(docs)
-    counts = [_count("base", k).alias(f"n_{x}") for k, x in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"))
+    counts = [_count("base", k).alias(f"n_{x}") for k, x in enumerate(BASE_KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in brackets; overlapping spans as one,
-    named after the first. ``n_chars``, if there, follows the new text. All other columns and all rows stay."""
-    found = _all_spans(docs).where(F.size("spans") > 0).select("row_key", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans")).dropDuplicates(["row_key"])
-    found = found.withColumnsRenamed({"row_key": "_row_key", "spans": "_spans"})
-    text, names = F.col("text"), F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
+    named after the first. ``n_chars``, if there, follows the new text. All rows stay, repeated ones too, and all other
+    columns, whatever their names. A null or empty text stays as it is; an empty table stays empty."""
+    found = _all_spans(docs).where(F.size("spans") > 0).select("doc_id", "row_key", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans")).dropDuplicates(["doc_id", "row_key"])
+    names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"))
+    rows = rows.alias("r").join(found.alias("f"), _same_row("r", "f"), "left").select("r.row", "r.text", "f.spans")
 
     def step(state: Column, s: Column) -> Column:
-        more = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
+        more = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], more).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = keyed.join(found, "_row_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), clean))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    return rows.select(*[(F.when(F.col("spans").isNull(), F.col("row")[c]).otherwise(new[c].cast(docs.schema[c].dataType)) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -307,3 +307,26 @@ def test_pii(spark, empty):
     clean = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[4] == "é中 [PHONE] é" and clean[6] is None and clean[5] == "" and "(212)" not in clean[len(texts) - 2]
     assert personal_data(empty).count() == 0
+
+
+def test_pii_discovers_planted_identifiers(spark):
+    """Keys in other alphabets than the seeds', and phone numbers without +, found by the labels that seeds stand beside."""
+    rng = np.random.default_rng(11)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(8)]
+    keys = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ"), 14)) + f"_{rng.integers(10**6, 10**7)}" for _ in range(10)]
+    text = lambda i: prose(i, 40)
+    rows = [(i, f'{text(i)} token = "{h}" {text(i + 50)}') for i, h in enumerate(hexes)]
+    planted = [(100 + i, f'{text(i + 9)} token = "{k}" {text(i + 70)}') for i, k in enumerate(keys[:6])]
+    decoys = [(200 + i, f"{text(i + 30)} batch {k} {text(i + 90)}") for i, k in enumerate(keys[6:])]
+    everything = rows + planted + decoys + [(300, None), (301, ""), (None, rows[0][1]), rows[1], (302, "river " * 20000)]
+    table = spark.createDataFrame([(*r, "mine", "x", 5) for r in everything], "doc_id long, text string, row_key string, spans string, n_chars int")
+    got = Counter((r.doc_id, r.spans, r.n_spans) for r in personal_data(table).collect())
+    found = {d for d, _, n in got if n}
+    at = lambda t, v: f"secret:{t.index(v)}:{t.index(v) + len(v)}"
+    assert found == {d for d, _ in rows + planted} | {None}  # recall and precision 1
+    assert all(got[d, at(t, k), 1] == (2 if d == 1 else 1) for (d, t), k in zip(rows + planted, hexes + keys))
+    clean = Counter(redact(table).collect())
+    assert sum(clean.values()) == len(everything) and all(r.row_key == "mine" and r.spans == "x" for r in clean)
+    assert {r.doc_id: r.text for r in clean}[103] == planted[3][1].replace(keys[3], "[SECRET]")
+    assert {r.doc_id: (r.text, r.n_chars) for r in clean}[300] == (None, 5)
+    assert redact(table.limit(0)).count() == 0
