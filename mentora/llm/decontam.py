@@ -8,6 +8,8 @@ windows of a document that agree with a part of an item in any repetition are ve
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mentora.llm.storage import file_system, shared_dir, write_bytes, write_table
 from mentora.llm.words import NO_LETTER, mix, text_slices, word_hashes
 
+#: Items of an index. A worker keeps so many indexes; with more it reads each again for every batch of documents.
 ITEM_BLOCK = 20_000
+KEPT_INDEXES = 2
 TABLE_BITS = 20
 PART_WORDS = 39
 MATCHES = "doc_id long, item_id long, distance int, start_word long, item_words int"
@@ -156,17 +161,59 @@ class ItemIndex:
         return best
 
 
-def item_indexes(benchmark: DataFrame, edit_ratio: float, repetitions: int, samples: int) -> Iterator[ItemIndex]:
-    """Indexes of ``benchmark`` (item_id, text), the stated query set, in blocks of ITEM_BLOCK items."""
-    ids, texts = [], []
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        if len(ids) == ITEM_BLOCK:
-            yield _index(ids, texts, edit_ratio, repetitions, samples)
-            ids, texts = [], []
-    if ids:
-        yield _index(ids, texts, edit_ratio, repetitions, samples)
+class ItemIndexes:
+    """Index files in the shared folder, read by the tasks that search with them."""
+
+    def __init__(self, path: str, names: list[str]):
+        self.path, self.names, self.held = path, names, {}
+
+    def __iter__(self) -> Iterator[ItemIndex]:
+        for name in self.names:
+            if name not in self.held:
+                fs, path = file_system(f"{self.path}/{name}")
+                with fs.open_input_stream(path) as source:
+                    index = pickle.loads(source.read())
+                if len(self.held) == KEPT_INDEXES:
+                    yield index
+                    continue
+                self.held[name] = index
+            yield self.held[name]
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": {}}
+
+    def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+        """What ``ItemIndex.matches`` gives for all indexes; the texts are cut into words once."""
+        slices = [(first, *word_hashes(data, at, NO_LETTER)) for first, _, data, at in text_slices(column)]
+        for index in self:
+            for first, words, offsets in slices:
+                for row, *rest in index.matches(words, offsets):
+                    yield first + row, *rest
+
+
+def item_indexes(benchmark: DataFrame, edit_ratio: float, repetitions: int, samples: int) -> ItemIndexes:
+    """Indexes of ``benchmark`` (item_id, text), the stated query set, built by tasks of about ITEM_BLOCK items each.
+
+    Only the names of the index files come to the driver.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    path = shared_dir(spark, "benchmark-index")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = [], []
+        for batch in batches:
+            ids += batch.column("item_id").to_pylist()
+            texts += batch.column("text").to_pylist()
+        if ids:
+            name = f"{uuid.uuid4().hex}.index"
+            index = _index(ids, texts, edit_ratio, repetitions, samples)
+            write_bytes(path, name, lambda sink: sink.write(pickle.dumps(index, 5)))
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    names = write_table(items.repartition(blocks).mapInArrow(build, "name string"), "index-names")
+    return ItemIndexes(path, sorted(r[0] for r in names.collect()))
 
 
 def _index(ids: list[int], texts: list[str], edit_ratio: float, repetitions: int, samples: int) -> ItemIndex:
@@ -188,34 +235,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edit_ratio: float = 0.1
     doc_id, item_id, distance, start_word, item_words. Null or empty texts and items match nothing; a null doc_id stays
     null; repeated document rows and equal items match each; empty tables give no rows; other columns are ignored.
     """
-    out = None
-    for index in item_indexes(benchmark, edit_ratio, repetitions, samples):
+    indexes = item_indexes(benchmark, edit_ratio, repetitions, samples)
 
-        def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                doc_ids = batch.column("doc_id").to_pylist()
-                for first, _, data, at in text_slices(batch.column("text")):
-                    words, offsets = word_hashes(data, at, NO_LETTER)
-                    rows = [(doc_ids[first + row], *rest) for row, *rest in index.matches(words, offsets)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance", "start_word", "item_words"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            rows = [(doc_ids[row], *rest) for row, *rest in indexes.matches(batch.column("text"))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance", "start_word", "item_words"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, MATCHES)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], MATCHES) if out is None else out
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, MATCHES)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_ratio: float = 0.15, repetitions: int = 16, samples: int = 3) -> DataFrame:
-    """The rows of ``docs`` without a window near an item, with all their columns."""
-    for index in item_indexes(benchmark, edit_ratio, repetitions, samples):
-
-        def clean(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for first, _, data, at in text_slices(batch.column("text")):
-                    for row, *_ in index.matches(*word_hashes(data, at, NO_LETTER)):
-                        keep[first + row] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """The rows of ``docs`` without a window near an item, with all their columns, whatever their names.
+
+    Rows with a null or empty text stay; repeated rows stay or go together; an empty table stays empty, and an empty
+    ``benchmark`` removes nothing. Texts are searched whole.
+    """
+    indexes = item_indexes(benchmark, edit_ratio, repetitions, samples)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, *_ in indexes.matches(batch.column("text")):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
