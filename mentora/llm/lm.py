@@ -21,6 +21,10 @@ END_HASH = np.uint64(0x6A09E667F3BCC909)
 _TOP = np.uint64(1 << 63)
 #: Keys that a task gathers before it sends their counts.
 GATHERED = 3_000_000
+#: Tokens for one range of bigram keys, so that a task's range stays as large however much text there is.
+RANGE_TOKENS = 4_000_000
+#: Word numbers take 32 bits, of which two values mark the start of a text and an unknown word.
+MOST_WORDS = (1 << 32) - 2
 
 
 def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +72,11 @@ class _Gather:
                 yield _rows(keys[i : i + 100_000], self.ranges, n=n[i : i + 100_000])
 
 
-def write_arrays(rows: DataFrame, path: str, values: list[str]) -> list[dict]:
+def write_arrays(rows: DataFrame, path: str, values: list[str], ranges: int) -> list[dict]:
     """Sum ``values`` of ``rows`` (range, key, values) by key and write sorted arrays below ``path``, two files a range.
 
+    Each range is one task, which sums neighbours of its sorted rows.
+
     Values take the fewest bytes that hold the largest. Returns file facts: range, size, bytes of a value, how many
     first values are 1, 2, 3, 4 and not 0, and their sum. Their number is the number of ranges.
     """
@@ -80,6 +86,8 @@ def write_arrays(rows: DataFrame, path: str, values: list[str]) -> list[dict]:
         def done(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             key = np.concatenate([x.column("key").to_numpy().view(np.uint64) for x in parts]) ^ _TOP
             value = np.concatenate([np.stack([x.column(v).to_numpy() for v in values], 1) for x in parts])
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, value = key[new], np.add.reduceat(value, new, axis=0)
             size = next(x for x in (2, 4, 8) if int(value.max()) < 1 << (8 * x - (x == 8)))
             write_bytes(path, f"{number:08d}.keys", lambda sink: sink.write(key.tobytes()))
             write_bytes(path, f"{number:08d}.values", lambda sink: sink.write(value.astype(f"<u{size}").tobytes()))
@@ -101,8 +109,8 @@ def write_arrays(rows: DataFrame, path: str, values: list[str]) -> list[dict]:
         if parts:
             yield done(now, parts)
 
-    summed = rows.repartition("range").groupBy("range", "key").agg(*[F.sum(v).alias(v) for v in values]).sortWithinPartitions("range", "key")
-    facts = write_table(summed.mapInArrow(write, "range int, n long, size long, n1 long, n2 long, n3 long, n4 long, some long, total long"), "array-files")
+    by_range = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "key")
+    facts = write_table(by_range.mapInArrow(write, "range int, n long, size long, n1 long, n2 long, n3 long, n4 long, some long, total long"), "array-files")
     return [r.asDict() for r in facts.collect()]
 
 
@@ -225,11 +233,14 @@ def train(docs: DataFrame) -> BigramModel:
         yield from gather.flush()
 
     path = shared_dir(spark, "lm-words")
-    vocabulary = MappedTable(path, write_arrays(texts.mapInArrow(words, "range int, key long, n long"), path, ["n"]), ranges, 1)
+    vocabulary = MappedTable(path, write_arrays(texts.mapInArrow(words, "range int, key long, n long"), path, ["n"], ranges), ranges, 1)
+    if vocabulary.total("n") > MOST_WORDS:
+        raise ValueError(f"{vocabulary.total('n')} distinct words, more than {MOST_WORDS}")
+    pair_ranges = max(ranges, -(-vocabulary.total("total") // RANGE_TOKENS))
     counting = BigramModel(vocabulary, MappedTable(path, [], ranges, 1), MappedTable(path, [], ranges, 5))
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(ranges)
+        gather = _Gather(pair_ranges)
         for batch in batches:
             for _, _, data, at in text_slices(batch.column("text")):
                 hashes, first = _tokens(data, at)
@@ -239,7 +250,7 @@ def train(docs: DataFrame) -> BigramModel:
         counting.close()
 
     pair_path = shared_dir(spark, "lm-bigrams")
-    pairs = MappedTable(pair_path, write_arrays(texts.mapInArrow(bigrams, "range int, key long, n long"), pair_path, ["n"]), ranges, 1)
+    pairs = MappedTable(pair_path, write_arrays(texts.mapInArrow(bigrams, "range int, key long, n long"), pair_path, ["n"], pair_ranges), pair_ranges, 1)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each file has of every word: contexts before it; as a context: tokens, and followers seen once, twice, more."""
@@ -257,7 +268,7 @@ def train(docs: DataFrame) -> BigramModel:
     word_path = shared_dir(spark, "lm-stats")
     files = spark.range(0, len(pairs.files), 1, max(1, len(pairs.files)))
     names = ["follow", "total", "n1", "n2", "n3"]
-    word_stats = write_arrays(files.mapInArrow(stats, "range int, key long, follow long, total long, n1 long, n2 long, n3 long"), word_path, names)
+    word_stats = write_arrays(files.mapInArrow(stats, "range int, key long, follow long, total long, n1 long, n2 long, n3 long"), word_path, names, ranges)
     return BigramModel(vocabulary, pairs, MappedTable(word_path, word_stats, ranges, 5))
 
 
