@@ -42,6 +42,8 @@ ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_SCORE = 0.6
 WORD_CHARS = 32
+#: Patterns of at most 65 characters each.
+MOST_BROADCAST = 100_000
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -138,11 +140,18 @@ def _spans_table(docs: DataFrame) -> DataFrame:
 
 
 def _pattern_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """How often the words and word pairs ``wanted`` (word) occur in the corpus."""
+    """How often the words and word pairs ``wanted`` (word) occur in the corpus.
+
+    They are broadcast if no more than MOST_BROADCAST; more are joined after all words have been counted.
+    """
     words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), _short)
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
     split = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").select(words.alias("words"))
-    return split.select(F.explode(F.concat("words", pairs)).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+    occurring = split.select(F.explode(F.concat("words", pairs)).alias("word"))
+    count = lambda df: df.groupBy("word").agg(F.count("*").alias("total"))
+    if wanted.count() <= MOST_BROADCAST:
+        return count(occurring.join(F.broadcast(wanted), "word", "left_semi"))
+    return count(occurring).join(wanted, "word", "left_semi")
 
 
 def discover(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -159,7 +168,8 @@ def discover(docs: DataFrame, spans: DataFrame) -> DataFrame:
     edges = scratch.write(edges.groupBy("kind", "side", "word", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "all-edges")
     enough = edges.groupBy("kind", "side", "word").agg(F.count("*").alias("instances")).where(F.col("instances") >= MIN_SUPPORT).drop("instances")
     edges = edges.join(enough, ["kind", "side", "word"])
-    edges = scratch.write(edges.join(_pattern_counts(docs, enough.select("word").distinct()), "word"), "pattern-edges")
+    wanted = scratch.write(enough.select("word").distinct(), "patterns")
+    edges = scratch.write(edges.join(_pattern_counts(docs, wanted), "word"), "pattern-edges")
     instances = edges.groupBy("kind", "instance").agg(F.max("seed").alias("score"))
     for _ in range(ROUNDS):
         known = F.col("score") >= MIN_SCORE
