@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def add_content(cur: Column, new: Column) -> Column:
     """Append an utterance: stripped, not repeated, with a full stop between sentences."""
-    new = F.trim(new)
+    new = strip(new)
     joined = F.concat(cur, F.when(cur.rlike(r"[.!?]$"), "").otherwise("."), F.lit(" "), new)
     return F.when((cur == "") | (cur == new), new).otherwise(joined)
 
@@ -51,6 +56,13 @@ def lm_result(text: Column) -> Column:
     return F.trim(F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(assigned, F.lit(""))))
 
 
+def lm_json(text: Column) -> Column:
+    """The JSON value of a model's answer, or that of its key ``result`` if it has one, as canonical JSON text; null where
+    there is none or it can't be parsed."""
+    whole = F.try_parse_json(lm_result(text))
+    return F.to_json(F.coalesce(F.try_variant_get(whole, "$.result", "variant"), whole))
+
+
 # Families in the order in which they are tried, each with its alternatives of needles that must all occur.
 STRICT_FAMILIES = (
     ("A: misunderstands what problem asks", (("what the problem is asking",),)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +17,15 @@ CELLS = 100_000
 
 
 def forward(labels: Column, prior: Column, learn: Column, guess: Column, slip: Column) -> Column:
-    """Probability of a correct answer before each label of an ordered array, from the labels before it."""
+    """Probability of a correct answer before each label of an ordered array, from the labels before it.
+
+    A label that has no probability under the parameters leaves the state as it is."""
 
     def step(state: Column, y: Column) -> Column:
         p = state["p"]
         expected = p * (1 - slip) + (1 - p) * guess
-        right = p * (1 - slip) / expected
-        wrong = p * slip / (p * slip + (1 - p) * (1 - guess))
-        after = F.when(y == 1, right).otherwise(wrong)
+        share = lambda known, other: F.when(known + other > 1e-12, F.try_divide(known, known + other)).otherwise(p)
+        after = F.when(y == 1, share(p * (1 - slip), (1 - p) * guess)).otherwise(share(p * slip, (1 - p) * (1 - guess)))
         return F.struct((after + (1 - after) * learn).alias("p"), F.concat(state["out"], F.array(expected)).alias("out"))
 
     start = F.struct(prior.cast("double").alias("p"), F.array().cast("array<double>").alias("out"))
@@ -205,3 +206,29 @@ def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
     """
     parameters = fit(train)
     return predict(test, parameters, weighted_fallback(parameters, train.groupBy("kc").agg(F.count("correct").alias("n"))))
+
+
+def estimable(train: DataFrame) -> DataFrame:
+    """Skills of ``train`` (kc, correct) that have both right and wrong answers."""
+    return train.groupBy("kc").agg(F.min("correct").alias("lo"), F.max("correct").alias("hi")).where("lo < hi").select("kc")
+
+
+def rescued(train: DataFrame, test: DataFrame, predict_known: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Predictions of ``test``: those of ``predict_known`` (which adds p) for estimable skills, the base rate of ``train``
+    for the others, and wherever p is null or not a number. ``rescued`` marks rows with the base rate."""
+    skills = estimable(train).withColumn("known", F.lit(True))
+    rows = test.join(skills, "kc", "left")
+    known = predict_known(rows.where("known").drop("known"))
+    rest = rows.where("known is null").drop("known").withColumn("p", F.lit(None).cast("double"))
+    base = train.agg(F.avg("correct").alias("_base"))
+    p = F.nanvl(F.col("p"), F.lit(None).cast("double"))
+    out = known.unionByName(rest).crossJoin(F.broadcast(base))
+    return out.withColumn("rescued", p.isNull()).withColumn("p", F.coalesce(p, "_base")).drop("_base")
+
+
+def summary(parameters: DataFrame, bound: float) -> DataFrame:
+    """Count, mean, deviation and quartiles of each parameter, and how many values lie at ``bound`` as isclose has it."""
+    rows = parameters.select(F.explode(F.array(*[F.struct(F.lit(x).alias("parameter"), F.col(x).alias("v")) for x in DEFAULTS])).alias("x")).select("x.*")
+    at = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.groupBy("parameter").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), at.alias("q"), F.max("v").alias("most"), F.sum((F.abs(F.col("v") - bound) <= 1e-8 + 1e-5 * abs(bound)).cast("long")).alias("at_bound"))
+    return out.select("parameter", "n", "mean", "std", "least", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"), "most", "at_bound")

@@ -45,22 +45,22 @@ def scores(turns: DataFrame) -> DataFrame:
 
 
 def pair_agreement(ratings: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(pair, accuracy, pearson, qwk) of rater columns."""
+    """(pair, accuracy, pearson, qwk) of rater columns; qwk is null where both raters always give the same one value."""
     parts = None
     for a, b in pairs:
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        qwk = 1 - F.avg((x - y) * (x - y)) / (F.avg(x * x) + F.avg(y * y) - 2 * F.avg(x) * F.avg(y))
+        qwk = 1 - F.try_divide(F.avg((x - y) * (x - y)), F.avg(x * x) + F.avg(y * y) - 2 * F.avg(x) * F.avg(y))
         row = ratings.agg(F.lit(f"{a}-{b}").alias("pair"), F.round(F.avg((x == y).cast("double")), 8).alias("accuracy"), F.round(F.corr(x, y), 8).alias("pearson"), F.round(qwk, 8).alias("qwk"))
         parts = row if parts is None else parts.unionByName(row)
     return parts
 
 
 def krippendorff_interval(ratings: DataFrame, raters: tuple[str, ...]) -> DataFrame:
-    """Alpha at interval level for complete ratings."""
+    """Alpha at interval level for complete ratings; null where all ratings are equal or there are none."""
     values = F.array(*[F.col(r).cast("double") for r in raters])
     n = len(raters)
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
     within = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / (n - 1)
     rows = ratings.select(within.alias("w"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("s"), F.aggregate(F.transform(values, lambda x: x * x), F.lit(0.0), lambda a, x: a + x).alias("q"))
     total = rows.agg(F.avg("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q"), (F.count("*") * n).alias("m"))
-    return total.select(F.round(1 - F.col("w") / ((F.col("q") - F.col("s") * F.col("s") / F.col("m")) / (F.col("m") - 1)), 8).alias("alpha"))
+    return total.select(F.round(1 - F.try_divide(F.col("w"), F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("m")), F.col("m") - 1)), 8).alias("alpha"))

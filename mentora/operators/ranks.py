@@ -35,3 +35,21 @@ def draw_shortfall(pool: DataFrame, used: DataFrame, target: int, order: str) ->
     have = used.groupBy("family").agg(F.count("*").alias("have"))
     fresh = pool.join(used.select("d"), "d", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("family").orderBy(order)).cast("long"))
     return fresh.join(F.broadcast(have), "family", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("k") <= target - F.col("have"))
+
+
+def holdout(placed: DataFrame, test: Column) -> DataFrame:
+    """Adds ``slice`` to rows of ``with_position``, which places the rows that are no test rows: the first 80 % of these are
+    train, the rest validation. ``test`` marks the test rows, whose place doesn't count."""
+    return placed.withColumn("slice", F.when(test, "test").when(F.col("position") < F.floor(F.col("total") * F.lit(0.8).cast("double")), "train").otherwise("validation"))
+
+
+def best_setting(runs: DataFrame, score: str, ordinal: str) -> DataFrame:
+    """The row with the greatest score, the first of equal ones."""
+    return runs.orderBy(F.desc(score), ordinal).limit(1)
+
+
+def unchanged_prefix(before: DataFrame, after: DataFrame, added: Column) -> DataFrame:
+    """(lost, changed, added): rows of ``before`` that ``after`` lacks, and old rows of ``after`` that ``before`` lacks."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    old = after.where(~added)
+    return count(before.exceptAll(old), "lost").crossJoin(count(old.exceptAll(before), "changed")).crossJoin(count(after.where(added), "added"))

@@ -59,3 +59,17 @@ def observations(turns: DataFrame) -> DataFrame:
 
 def skill_stats(obs: DataFrame) -> DataFrame:
     return obs.groupBy("kc").agg(F.count("correct").alias("n"), F.sum("correct").cast("long").alias("n_correct"))
+
+
+def dialogue_texts(turns: DataFrame) -> DataFrame:
+    """(d, text, last_turn) of coalesced turns: all of a dialogue's lines, in tags."""
+    line = lambda role: F.when(F.col(role.lower()) != "", F.concat(F.lit(f"{role} Turn "), F.col("turn").cast("string"), F.lit(": "), F.col(role.lower())))
+    lines = F.array_join(F.array_compact(F.array(line("Teacher"), line("Student"))), "\n")
+    text = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("turn", lines.alias("lines")))), lambda x: x["lines"] != ""), lambda x: x["lines"]), "\n")
+    return turns.groupBy("d").agg(F.concat(F.lit("[BEGIN DIALOGUE]\n"), text, F.lit("\n[END DIALOGUE]")).alias("text"), F.max("turn").alias("last_turn"))
+
+
+def first_of_last_turn(obs: DataFrame) -> DataFrame:
+    """The first row of each dialogue's last turn: one skill, not the mean of the turn."""
+    last = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("turn"), "pos"))
+    return obs.withColumn("_k", last).where("_k = 1").drop("_k")

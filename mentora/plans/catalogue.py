@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mentora.functions import text as T
 from mentora.operators import bkt, metrics, ranks
 from mentora.operators import turns as U
+from mentora.plans.flows import FLOWS, FLOWS_SQL
 from mentora.plans.reports import REPORTS, REPORTS_SQL
 from mentora.plans.sql import SQL
 from mentora.sources import adapters as A
@@ -417,8 +418,8 @@ def reload_parity(spark, sf_dir):
 
 
 def catalogue() -> dict[str, Query]:
-    return _QUERIES | REPORTS
+    return _QUERIES | REPORTS | FLOWS
 
 
 def catalogue_sql() -> dict[str, str]:
-    return SQL | REPORTS_SQL
+    return SQL | REPORTS_SQL | FLOWS_SQL

@@ -42,7 +42,7 @@ l AS (SELECT *, max(turn) OVER (PARTITION BY d) AS last FROM c)
 
 
 def _fold(column: str) -> str:
-    return f"coalesce(list_reduce(list_transform({column}, lambda x: trim(x)), lambda a, b: CASE WHEN a = '' OR a = b THEN b ELSE a || CASE WHEN right(a, 1) IN ('.', '!', '?') THEN '' ELSE '.' END || ' ' || b END), '')"
+    return f"coalesce(list_reduce(list_transform({column}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda a, b: CASE WHEN a = '' OR a = b THEN b ELSE a || CASE WHEN right(a, 1) IN ('.', '!', '?') THEN '' ELSE '.' END || ' ' || b END), '')"
 
 
 _COALESCED = _COALESCED.format(t=_fold("t"), s=_fold("s"))

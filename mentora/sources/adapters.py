@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mentora.operators.rating import clean_ratings
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,3 +58,31 @@ def numeric_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(order) - 1).withColumn("answer", F.max("l_quantity").over(Window.partitionBy("l_orderkey")).cast("int").cast("string"))
     role = F.when(F.col("pos") % 2 == 0, "Student").otherwise("Teacher")
     return rows.select(F.col("l_orderkey").alias("d"), "pos", role.alias("role"), F.concat(role, F.lit(": I get "), F.col("l_quantity").cast("int").cast("string")).alias("content"), "answer")
+
+
+def annotation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d, turns, kcs, correctness, self_correctness): two model replies on each order's lines, with planted failures.
+
+    Every 47th order has a reply that can't be parsed, every 41st lacks a label, every 43rd has one turn more in the
+    source; orders with an even key open with a turn 0.
+    """
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("line")).agg(F.min("l_returnflag").alias("flag"), F.array_sort(F.collect_set("p_brand")).alias("kcs"))
+    rows = lines.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("line", "flag", "kcs"))).alias("x"))
+    key = lambda i: F.concat(F.lit("turn "), (i + 1).cast("string"))
+    label = lambda x: F.when(x["flag"] == "A", "true").when(x["flag"] == "R", "false").otherwise("na")
+    kcs = F.map_from_entries(F.transform("x", lambda x, i: F.struct(key(i).alias("k"), x["kcs"].alias("v"))))
+    marks = F.map_from_entries(F.transform(F.when(F.col("d") % 41 == 0, F.slice("x", 1, F.size("x") - 1)).otherwise(F.col("x")), lambda x, i: F.struct(key(i).alias("k"), label(x).alias("v"))))
+    turns = F.sequence(F.when(F.col("d") % 2 == 0, 0).otherwise(1), F.size("x") + F.when(F.col("d") % 43 == 0, 1).otherwise(0))
+    status = F.when(F.col("o_orderstatus") == "F", "Yes").when(F.col("o_orderstatus") == "O", "No").otherwise("Yes, but I had to reveal the answer")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), status.alias("self_correctness"))
+    return rows.select("d", turns.alias("turns"), F.when(F.col("d") % 47 != 0, kcs).alias("kcs"), marks.alias("correctness")).join(orders, "d")
+
+
+def event_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned ratings of events: three raters, dialogues of nine turns."""
+    e = F.col("event_id")
+    accuracy = F.when(e % 10 == 0, "na").when(e % 11 != 0, F.when(e % 3 > 0, "1").otherwise("0"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("int").alias("rater"), F.floor(e / 9).alias("d"), (e % 9).alias("turn"), F.when(e % 2 == 0, "TRUE").otherwise("FALSE").alias("predicted"), accuracy.alias("accuracy"), F.when(e % 7 != 0, e % 4 + 1).alias("rating"))
+    sources = rows.select("d").distinct().select("d", (F.col("d") % 4).alias("subject"), (F.col("d") % 3 == 0).alias("accepted"))
+    return clean_ratings(rows, sources)
