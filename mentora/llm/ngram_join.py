@@ -6,7 +6,7 @@ tile splits the hash space into D + 1 + z cells, so similar sets agree on at lea
 such a cell agrees. z exceeds the cells that a set usually leaves empty; sets with more empty cells meet on these too.
 So no similar pair is missed, and sets that merely share a common passage rarely meet.
 
-Where sets meet, hashed bitmaps of about eight bits an element bound the overlap from above: first of each set with the
+Where sets meet, hashed bitmaps of four to eight bits an element bound the overlap from above: first of each set with the
 least set there, then, where a place still holds sets that nothing connects, of the rest in blocks. Only pairs that
 connect something new are given out, n - 1 at most from n sets, so the candidates are a forest over all pairs that the
 bitmaps allow. Its trees are clusters; two similar sets always lie in the same one. The sorted arrays of a cluster then
@@ -29,7 +29,7 @@ from mentora.llm.components import connected_components
 from mentora.llm.storage import Scratch, arrow_batches
 from mentora.llm.words import distinct_rows, mix, shingle_hashes, text_slices, word_hashes
 
-BITS_PER_ELEMENT = 8
+BITS_PER_ELEMENT = 4
 LEAST_BITS = 256
 #: A meeting place with more sets, or more bytes of bitmaps, is cut into blocks, and every two blocks meet in a task.
 BLOCK = 2048
@@ -382,11 +382,14 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
 
     # Places whose sets the candidates leave apart.
     split = met.join(cluster, "node", "left").withColumn("component", F.coalesce("component", "node")).join(of_nodes.select("node", F.length("bits").alias("bytes")), "node")
-    for name, value in {"n": F.count("*"), "bytes": F.sum("bytes"), "least": F.min("component"), "most": F.max("component")}.items():
+    members_hash = F.bit_xor(F.xxhash64("node"))
+    for name, value in {"n": F.count("*"), "bytes": F.sum("bytes"), "least": F.min("component"), "most": F.max("component"), "all": members_hash}.items():
         split = split.withColumn(name, value.over(place))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    split = split.where("least != most and n > 2").select("key", "node", "component", blocks.alias("blocks"))
-    tiles_of = split.withColumn("own", block_of("blocks")).join(of_nodes, "node")
+    split = scratch.write(split.where("least != most and n > 2").select("key", "node", "component", blocks.alias("blocks"), "n", "all", "pivot"), "split-places")
+    # Of places with the same sets one is enough.
+    different = split.groupBy("n", "all", "pivot").agg(F.min("key").alias("key")).select("key")
+    tiles_of = split.join(different, "key", "left_semi").drop("n", "all", "pivot").withColumn("own", block_of("blocks")).join(of_nodes, "node")
     with arrow_batches(spark, SET_ROWS):
         more = scratch.write(tiled(tiles_of, "key", F.sequence(F.lit(0), F.col("blocks") - 1)).drop("blocks").mapInArrow(compare, "a long, b long"), "candidates")
     if more.head(1):
