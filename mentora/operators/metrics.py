@@ -45,12 +45,12 @@ def scores(turns: DataFrame) -> DataFrame:
 
 
 def pair_agreement(ratings: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(pair, accuracy, pearson, qwk) of rater columns; qwk is null where both raters always give the same one value."""
+    """(pair, accuracy, pearson, qwk) of rater columns; null where constant ratings leave no value."""
     parts = None
     for a, b in pairs:
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
         qwk = 1 - F.try_divide(F.avg((x - y) * (x - y)), F.avg(x * x) + F.avg(y * y) - 2 * F.avg(x) * F.avg(y))
-        row = ratings.agg(F.lit(f"{a}-{b}").alias("pair"), F.round(F.avg((x == y).cast("double")), 8).alias("accuracy"), F.round(F.corr(x, y), 8).alias("pearson"), F.round(qwk, 8).alias("qwk"))
+        row = ratings.agg(F.lit(f"{a}-{b}").alias("pair"), F.round(F.avg((x == y).cast("double")), 8).alias("accuracy"), F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 8).alias("pearson"), F.round(qwk, 8).alias("qwk"))
         parts = row if parts is None else parts.unionByName(row)
     return parts
 
