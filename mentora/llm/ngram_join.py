@@ -462,4 +462,5 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> Dat
     marked = with_sets.alias("r").join(chosen.alias("c"), (F.col("r.set") == F.col("c.set")) & F.col("r.doc").eqNullSafe(F.col("c.doc")), "left").where("r.set is null or c.first").select("r.*")
     if base.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").head(1):
         marked = marked.where("set is null").unionByName(marked.where("set is not null").dropDuplicates(["doc", "set"]))
-    return marked.select("row.*")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        return Scratch(docs.sparkSession).write(marked.select("row.*"), "kept")

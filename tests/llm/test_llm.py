@@ -222,6 +222,8 @@ def test_jaccard_components(spark, k, num, den, monkeypatch):
     import mentora.llm.ngram_join as join
 
     monkeypatch.setattr(join, "BLOCK", 4)
+    if k == 5:
+        monkeypatch.setattr(join, "PART_ELEMENTS", 400)  # clusters in several parts
     rng, rows = np.random.default_rng(5), []
     for g in range(6):
         base = rng.choice(WORDS, 60 + 40 * g).tolist()
