@@ -14,6 +14,7 @@ from mentora.plans.flows import FLOWS, FLOWS_SQL
 from mentora.plans.reports import REPORTS, REPORTS_SQL
 from mentora.plans.sql import SQL
 from mentora.sources import adapters as A
+from mentora.sources.files import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -54,11 +55,8 @@ def role_transitions(spark, sf_dir):
 
 @query
 def dialogue_text_prefix(spark, sf_dir):
-    """Only the first 20 characters of each utterance before a teacher utterance; dialogue_histories has whole histories."""
-    before = Window.partitionBy("d").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    line = F.concat(F.initcap("role"), F.lit(": "), F.substring("content", 1, 20))
-    rows = A.utterances(spark, sf_dir).withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
-    return rows.where("role = 'teacher'").select("d", "pos", "history")
+    """Length and md5 of the whole history that each turn's prompt begins with; dialogue_histories has the texts."""
+    return dialogue_histories(spark, sf_dir).select("d", "turn", F.length("history").cast("long").alias("chars"), F.md5("history").alias("history_md5"))
 
 
 @query
@@ -77,10 +75,8 @@ def chat_contexts(spark, sf_dir):
 
 @query
 def prompt_batches(spark, sf_dir):
-    """Distinct user prompts counted in 256 buckets of md5; prompt_batch_members has the batches."""
-    rows = A.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.md5("text").alias("h")).distinct()
-    numbered = rows.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.count("*").alias("n"))
-    return numbered.select("bucket", "n", F.ceil(F.col("n") / 64).cast("long").alias("batches"))
+    """Size, first and last prompt of each batch of prompt_batch_members."""
+    return prompt_batch_members(spark, sf_dir).groupBy("batch").agg(F.count("*").alias("n"), F.min("h").alias("first_h"), F.max("h").alias("last_h"))
 
 
 @query
@@ -223,10 +219,10 @@ def family_text_shares(spark, sf_dir):
 
 @query
 def order_ids(spark, sf_dir):
-    """A dense order number within each dialogue; global_order_ids has the number over all."""
-    obs = _obs(spark, sf_dir)
+    """The order number of each observation in its dialogue, and the dialogue's offset over all."""
     local = F.row_number().over(Window.partitionBy("d").orderBy("turn", "pos")) - 1
-    return obs.select("d", "turn", F.col("pos").cast("long").alias("pos"), local.cast("long").alias("order_in_dialogue"))
+    rows = global_order_ids(spark, sf_dir).withColumn("order_in_dialogue", local.cast("long"))
+    return rows.select("d", "turn", "pos", "order_in_dialogue", (F.col("order_id") - F.col("order_in_dialogue")).alias("dialogue_offset"))
 
 
 @query
@@ -309,10 +305,11 @@ def majority_baseline(spark, sf_dir):
 
 @query
 def rotating_folds(spark, sf_dir):
-    """Ranks of orders within 256 hash buckets modulo 5; rotating_fold_slices has the folds."""
+    """Sizes of the slices of each rotation, and the sum of its test orders."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), _md5("221-", "o_orderkey").alias("h"))
-    rank = F.row_number().over(Window.partitionBy(F.substring("h", 1, 2)).orderBy("h"))
-    return rows.withColumn("fold", (rank % 5).cast("long")).groupBy("fold").agg(F.count("*").alias("n"), F.sum("d").alias("d_sum"))
+    slices = ranks.fold_slices(ranks.with_position(rows, F.substring("h", 1, 3), "h", "d"))
+    sizes = [_count(F.col("slice") == x).alias(f"n_{x}") for x in ("train", "validation", "test")]
+    return slices.groupBy("fold").agg(*sizes, F.sum(F.when(F.col("slice") == "test", F.col("d")).otherwise(0)).alias("test_d_sum"))
 
 
 @query
@@ -324,12 +321,14 @@ def rotating_fold_slices(spark, sf_dir):
 
 
 @query
-def stratified_topup(spark, sf_dir):
-    """Five dialogues of each family by md5 order, those already used left out; stratified_shortfall counts these."""
-    rows = A.profiles(spark, sf_dir).where("split = 'train'").withColumn("family", T.misconception_family(F.col("profile")))
-    used = rows.where("d % 11 = 0").select("d")
-    fresh = rows.join(used, "d", "left_anti").withColumn("h", _md5("draw-", "d"))
-    return fresh.withColumn("k", F.row_number().over(Window.partitionBy("family").orderBy("h"))).where("k <= 5").select("family", "d", F.col("k").cast("long").alias("k"))
+def stratified_topup(spark, sf_dir, target=13):
+    """By family: how many dialogues are used, how many are in the pool, and how many are drawn to reach the target."""
+    rows = A.profiles(spark, sf_dir).where("split = 'train'").withColumn("family", T.misconception_family(F.col("profile"))).withColumn("h", _md5("draw-", "d"))
+    used = rows.where("d % 11 = 0").select("family", "d")
+    drawn = ranks.draw_shortfall(rows, used, target, "h").groupBy("family").agg(F.count("*").alias("drawn"))
+    have = F.col("d") % 11 == 0
+    counts = rows.groupBy("family").agg(_count(have).alias("have"), _count(~have).alias("pool"))
+    return counts.join(drawn, "family", "left").select("family", "have", "pool", F.coalesce("drawn", F.lit(0)).alias("drawn"))
 
 
 @query
@@ -412,9 +411,10 @@ def embedding_kc_mean(spark, sf_dir):
 
 @query
 def reload_parity(spark, sf_dir):
-    rows = U.skill_stats(_obs(spark, sf_dir))
-    a, b = rows.select("kc", (F.col("n_correct") / F.col("n")).alias("a")), rows.select("kc", (F.col("n_correct") / F.col("n")).alias("b"))
-    return a.join(b, "kc").agg(F.count("*").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_diff"))
+    """Skill rates written to the shared folder and read back, against the computed ones; a rate on one side only counts 1."""
+    own = U.skill_stats(_obs(spark, sf_dir)).select("kc", (F.col("n_correct") / F.col("n")).alias("rate"))
+    both = own.withColumnRenamed("rate", "own").join(stored(own, "rates"), "kc", "full")
+    return both.agg(F.count("*").alias("n"), F.max(F.coalesce(F.abs(F.col("own") - F.col("rate")), F.lit(1.0))).alias("max_diff"))
 
 
 def catalogue() -> dict[str, Query]:

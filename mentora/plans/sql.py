@@ -5,7 +5,7 @@ from __future__ import annotations
 TURNS = """
 lab AS (
   SELECT l_orderkey AS d, l_linenumber AS turn, min(l_returnflag) AS flag, list_sort(list(DISTINCT p_brand)) AS all_kcs
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 47 <> 0 GROUP BY 1, 2),
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 ann AS (
   SELECT lab.d, turn, CASE flag WHEN 'A' THEN true WHEN 'R' THEN false END AS og, CASE WHEN flag IN ('A', 'R') THEN all_kcs ELSE [] END AS kcs,
     turn = max(turn) OVER (PARTITION BY lab.d) AS is_last, o_orderstatus AS status, CAST(o_orderpriority[1] AS INT) AS confusion, o_custkey % 5 + 1 AS interactions
@@ -48,7 +48,7 @@ def _fold(column: str) -> str:
 _COALESCED = _COALESCED.format(t=_fold("t"), s=_fold("s"))
 _FAMILY = """
 p AS (
-  SELECT doc_id AS d, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, substr(text, 1, 20) AS confusion,
+  SELECT doc_id AS d, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, md5(text) AS confusion,
     CASE doc_id % 7 WHEN 0 THEN 'A: misunderstands what problem asks' WHEN 1 THEN 'B: weak principles / when to apply' WHEN 2 THEN 'C: relevant vs irrelevant info'
       WHEN 3 THEN 'D: wrong operation / number order' WHEN 4 THEN 'E: unsure which steps/procedures' WHEN 5 THEN 'F: cannot recognise problem type' ELSE 'OTHER' END AS family,
     CASE doc_id % 7 WHEN 0 THEN 'A comprehension' WHEN 1 THEN 'B principles' WHEN 2 THEN 'C relevance' WHEN 3 THEN 'D wrong-operation' WHEN 4 THEN 'E steps' WHEN 5 THEN 'F problem-type' ELSE 'B principles' END AS loose
@@ -88,14 +88,16 @@ def _stats(source: str, kc: str = "kc") -> str:
 _STATS = f"WITH {TURNS}, st AS ({_stats('obs')})"
 _TRAIN = f"WITH {TURNS}, st AS ({_stats('(SELECT * FROM obs WHERE split = ' + chr(39) + 'train' + chr(39) + ')')}), keep AS (SELECT * FROM st WHERE n >= 900 AND n_correct > 0 AND n_correct < n)"
 
+_HISTORIES = f"{_COALESCED}, k AS (SELECT d, turn, CASE WHEN teacher <> '' THEN 'Teacher Turn ' || CAST(turn AS INT) || ': ' || teacher END AS t, CASE WHEN student <> '' THEN 'Student Turn ' || CAST(turn AS INT) || ': ' || student END AS s FROM l WHERE turn < last OR student <> ''), h AS (SELECT d, turn, t, string_agg(nullif(concat_ws(chr(10), t, s), ''), chr(10)) OVER (PARTITION BY d ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM k) SELECT d, CAST(turn AS BIGINT) AS turn, '[BEGIN DIALOGUE]' || chr(10) || concat_ws(chr(10), past, t) || chr(10) || '[END DIALOGUE]' AS history FROM h"
+
 SQL = {
     "turns_coalesced": f"{_COALESCED} SELECT d, CAST(turn AS BIGINT) AS turn, teacher, student FROM l WHERE turn < last OR student <> ''",
     "turn_counts_by_dialogue": f"{_COALESCED} SELECT d, CAST(count(*) AS BIGINT) AS n_turns FROM l WHERE turn < last OR student <> '' GROUP BY d",
     "role_transitions": f"WITH {_UTTER}, x AS (SELECT role, lead(role) OVER (PARTITION BY d ORDER BY pos) AS after FROM u) SELECT role, after, CAST(count(*) AS BIGINT) AS n FROM x WHERE after IS NOT NULL GROUP BY 1, 2",
-    "dialogue_text_prefix": f"WITH {_UTTER}, x AS (SELECT *, coalesce(string_agg(upper(role[1]) || role[2:] || ': ' || substr(content, 1, 20), chr(10)) OVER (PARTITION BY d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM u) SELECT d, pos, history FROM x WHERE role = 'teacher'",
-    "dialogue_histories": f"{_COALESCED}, k AS (SELECT d, turn, CASE WHEN teacher <> '' THEN 'Teacher Turn ' || CAST(turn AS INT) || ': ' || teacher END AS t, CASE WHEN student <> '' THEN 'Student Turn ' || CAST(turn AS INT) || ': ' || student END AS s FROM l WHERE turn < last OR student <> ''), h AS (SELECT d, turn, t, string_agg(nullif(concat_ws(chr(10), t, s), ''), chr(10)) OVER (PARTITION BY d ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM k) SELECT d, CAST(turn AS BIGINT) AS turn, '[BEGIN DIALOGUE]' || chr(10) || concat_ws(chr(10), past, t) || chr(10) || '[END DIALOGUE]' AS history FROM h",
+    "dialogue_text_prefix": f"SELECT d, turn, CAST(length(history) AS BIGINT) AS chars, md5(history) AS history_md5 FROM ({_HISTORIES})",
+    "dialogue_histories": _HISTORIES,
     "chat_contexts": "WITH x AS (SELECT conv_id, turn, role, count(*) OVER w AS n_before, coalesce(sum(length(text)) OVER w, 0) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, CAST(n_before AS BIGINT) AS n_before, CAST(chars AS BIGINT) AS chars_before FROM x WHERE role = 'assistant' AND n_before > 0",
-    "prompt_batches": "WITH x AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE role = 'user') SELECT substr(h, 1, 2) AS bucket, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) / 64.0) AS BIGINT) AS batches FROM x GROUP BY 1",
+    "prompt_batches": "WITH x AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE role = 'user'), y AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS k FROM x) SELECT CAST(k // 64 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, min(h) AS first_h, max(h) AS last_h FROM y GROUP BY 1",
     "prompt_batch_members": "WITH x AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE role = 'user'), y AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS k FROM x) SELECT h, CAST(k // 64 AS BIGINT) AS batch, CAST(k % 64 AS BIGINT) AS place FROM y",
     "observations_long": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, kc, CAST(correct AS BIGINT) AS correct, split FROM obs",
     "apply_final_override": f"WITH {TURNS} SELECT d, turn, {_LABEL.format('og')} AS og, {_LABEL.format('correct')} AS correct FROM ov WHERE is_last",
@@ -117,7 +119,7 @@ SQL = {
     "family_counts_pivot": f"WITH {_FAMILY} SELECT family, CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train, CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS test FROM p GROUP BY family",
     "family_loose_counts": f"WITH {_FAMILY} SELECT loose AS family, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1",
     "family_text_shares": f"WITH {_FAMILY} SELECT family, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT confusion) AS BIGINT) AS distinct_texts, round(CAST(count(DISTINCT confusion) AS DOUBLE) / count(*), 8) AS share FROM p GROUP BY family",
-    "order_ids": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (PARTITION BY d ORDER BY turn, pos) - 1 AS BIGINT) AS order_in_dialogue FROM obs",
+    "order_ids": f"WITH {TURNS}, x AS (SELECT d, turn, pos, row_number() OVER (PARTITION BY d ORDER BY turn, pos) - 1 AS k, row_number() OVER (ORDER BY d, turn, pos) - 1 AS g FROM obs) SELECT d, turn, CAST(pos AS BIGINT) AS pos, CAST(k AS BIGINT) AS order_in_dialogue, CAST(min(g) OVER (PARTITION BY d) AS BIGINT) AS dialogue_offset FROM x",
     "global_order_ids": f"WITH {TURNS} SELECT d, turn, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (ORDER BY d, turn, pos) - 1 AS BIGINT) AS order_id FROM obs",
     "turn_ranges": f"WITH {TURNS} SELECT d, turn, CAST(sum(len(kcs)) OVER w - len(kcs) AS BIGINT) AS start, CAST(sum(len(kcs)) OVER w AS BIGINT) AS \"end\" FROM tag WINDOW w AS (PARTITION BY d ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "bkt_forward_fixed": f"WITH RECURSIVE {TURNS}, {PREDICT} SELECT d, turn, kc, CAST(correct AS BIGINT) AS correct, round(p, 9) AS p FROM pred",
@@ -128,10 +130,10 @@ SQL = {
     "final_turn_metrics": _metrics("SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY turn DESC) AS k FROM tp) WHERE k = 1"),
     "weighted_fallback": f"{_STATS} SELECT " + ", ".join(f"round(sum(CAST(n_correct AS DOUBLE) / n / {k} * n) / sum(n), 8) AS {x}" for k, x in enumerate(("prior", "learns", "guesses", "slips"), 1)) + " FROM st",
     "majority_baseline": f"WITH {TURNS}, x AS (SELECT avg(CAST(correct AS INT)) AS share, count(*) AS n FROM tag) SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN share >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS majority, round(greatest(share, 1 - share), 8) AS accuracy FROM x",
-    "rotating_folds": "WITH x AS (SELECT o_orderkey AS d, md5('221-' || CAST(o_orderkey AS VARCHAR)) AS h FROM orders), y AS (SELECT d, row_number() OVER (PARTITION BY substr(h, 1, 2) ORDER BY h) % 5 AS fold FROM x) SELECT CAST(fold AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS d_sum FROM y GROUP BY 1",
+    "rotating_folds": "WITH x AS (SELECT o_orderkey AS d, row_number() OVER (ORDER BY md5('221-' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders), y AS (SELECT d, n, f, (k + n - CAST(floor(n * (CAST(f - 1 AS DOUBLE) / 5)) AS BIGINT)) % n AS k FROM x, range(1, 6) AS t(f)), z AS (SELECT f, d, CASE WHEN k < floor(n * CAST(0.65 AS DOUBLE)) THEN 'train' WHEN k < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS slice FROM y) SELECT CAST(f AS BIGINT) AS fold, CAST(count(*) FILTER (slice = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (slice = 'validation') AS BIGINT) AS n_validation, CAST(count(*) FILTER (slice = 'test') AS BIGINT) AS n_test, CAST(coalesce(sum(d) FILTER (slice = 'test'), 0) AS BIGINT) AS test_d_sum FROM z GROUP BY f",
     "rotating_fold_slices": "WITH x AS (SELECT o_orderkey AS d, row_number() OVER (ORDER BY md5('221-' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders), y AS (SELECT d, n, f, (k + n - CAST(floor(n * (CAST(f - 1 AS DOUBLE) / 5)) AS BIGINT)) % n AS k FROM x, range(1, 6) AS t(f)) SELECT CAST(f AS BIGINT) AS fold, CASE WHEN k < floor(n * CAST(0.65 AS DOUBLE)) THEN 'train' WHEN k < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS slice, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS d_sum FROM y GROUP BY 1, 2",
     "stratified_shortfall": f"WITH {_FAMILY}, x AS (SELECT family, d, row_number() OVER (PARTITION BY family ORDER BY md5('draw-' || CAST(d AS VARCHAR))) AS k FROM p WHERE split = 'train' AND d % 11 <> 0), y AS (SELECT family, count(*) AS have FROM p WHERE split = 'train' AND d % 11 = 0 GROUP BY family) SELECT x.family, d, CAST(k AS BIGINT) AS k FROM x LEFT JOIN y ON x.family = y.family WHERE k <= 13 - coalesce(have, 0)",
-    "stratified_topup": f"WITH {_FAMILY}, x AS (SELECT family, d, row_number() OVER (PARTITION BY family ORDER BY md5('draw-' || CAST(d AS VARCHAR))) AS k FROM p WHERE split = 'train' AND d % 11 <> 0) SELECT family, d, CAST(k AS BIGINT) AS k FROM x WHERE k <= 5",
+    "stratified_topup": f"WITH {_FAMILY}, x AS (SELECT family, count(*) FILTER (d % 11 = 0) AS have, count(*) FILTER (d % 11 <> 0) AS pool FROM p WHERE split = 'train' GROUP BY family) SELECT family, CAST(have AS BIGINT) AS have, CAST(pool AS BIGINT) AS pool, CAST(least(greatest(13 - have, 0), pool) AS BIGINT) AS drawn FROM x",
     "standards_options": "SELECT r_name AS domain, string_agg('ID: ' || CAST(n_nationkey AS VARCHAR) || ', Description: ' || n_name, chr(10) ORDER BY 'ID: ' || CAST(n_nationkey AS VARCHAR) || ', Description: ' || n_name) AS options FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "lm_output_extract": "SELECT n_nationkey, '{\"result\": pi' || CAST(n_nationkey AS VARCHAR) || '}' AS result FROM nation",
     "response_cache_misses": "WITH x AS (SELECT DISTINCT text FROM conversations WHERE role = 'user'), y AS (SELECT text FROM conversations WHERE role = 'user' AND conv_id % 3 = 0) SELECT CAST(count(*) AS BIGINT) AS misses, CAST(sum(length(text)) AS BIGINT) AS chars FROM x WHERE text NOT IN (SELECT text FROM y)",

@@ -20,8 +20,8 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(d, turn, og, kcs, status, prio, cust, is_last) from line items: the label is the least return flag, the skills
-    the distinct brands. A turn without label has no skills. Orders with an annotation error are left out."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").where("l_orderkey % 47 != 0")
+    the distinct brands. A turn without label has no skills."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
     turns = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("turn")).agg(F.min("l_returnflag").alias("flag"), F.array_sort(F.collect_set("p_brand")).alias("kcs"))
@@ -47,9 +47,9 @@ PROFILE_PHRASES = (
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, split, profile, confusion) from ``documents``."""
+    """(d, split, profile, confusion) from ``documents``; the whole text stands for the confusion, as its md5."""
     phrase = F.element_at(F.array(*map(F.lit, PROFILE_PHRASES)), (F.col("doc_id") % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("Alex is a 7th grade student. Alex "), phrase, F.lit(".")).alias("profile"), F.substring("text", 1, 20).alias("confusion"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("Alex is a 7th grade student. Alex "), phrase, F.lit(".")).alias("profile"), F.md5("text").alias("confusion"))
 
 
 def numeric_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
