@@ -13,7 +13,7 @@ from mentora.llm.ngram_join import keep_one
 from mentora.llm.packing import pack_documents
 from mentora.llm.pii import redact
 from mentora.llm.quality import keep_good
-from mentora.llm.storage import write_table
+from mentora.llm.storage import arrow_batches, write_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [(f.__name__, f) for f in (quality_classifier, ngram_jaccard_join, benchmark_decontamination, pii, best_fit_packing)]
 #: SQL can't express the learned and hashed stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
+#: Rows that Python functions get at a time, so that their memory and the executor's buffers stay small.
+BATCH_ROWS = 2048
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+        with arrow_batches(spark, BATCH_ROWS):
+            docs = write_table(stage(spark, docs, sf_dir), name)
     return docs

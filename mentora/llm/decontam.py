@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentora.llm.storage import file_system, shared_dir, write_bytes, write_table
+from mentora.llm.storage import file_system, lean, shared_dir, write_bytes, write_table
 from mentora.llm.words import NO_LETTER, mix, text_slices, word_hashes
 
 #: Items of an index. A worker keeps so many indexes; with more it reads each again for every batch of documents.
@@ -255,11 +255,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_ratio: float =
     """
     indexes = item_indexes(benchmark, edit_ratio, repetitions, samples)
 
+    @lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for row, *_ in indexes.matches(batch.column("text")):
                 keep[row] = False
-            yield batch.filter(pa.array(keep))
+            for first, end, *_ in text_slices(batch.column("text")):
+                yield batch.slice(first, end - first).filter(pa.array(keep[first:end]))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mentora.llm.components import connected_components
-from mentora.llm.storage import Scratch, arrow_batches
+from mentora.llm.storage import Scratch, arrow_batches, lean
 from mentora.llm.words import distinct_rows, mix, shingle_hashes, text_slices, word_hashes
 
 BITS_PER_ELEMENT = 4
@@ -274,6 +274,7 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tiles = Tiles(num, den)
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in text_slices(batch.column("text")):
@@ -281,6 +282,7 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
                 size = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(size), pa.array(whole.view(np.int64), mask=size == 0)], ["doc_id", "n_shingles", "node"])
 
+    @lean
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -313,6 +315,7 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
         wanted = scratch.write(wanted.join(owners, "node"), "wanted-sets")
         chosen = spark.sparkContext.broadcast(_ids_filter(wanted))
 
+        @lean
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 bit = batch.column("bit").to_numpy()
@@ -452,6 +455,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> Dat
     own = {"row": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "doc": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
     packed = docs.select(*[v.alias(k) for k, v in own.items()])
 
+    @lean
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in text_slices(batch.column("text")):

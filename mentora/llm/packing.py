@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentora.llm.bpe import default_vocabulary, encoder
-from mentora.llm.storage import write_table
+from mentora.llm.storage import lean, write_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
@@ -94,6 +94,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str) -> DataFrame:
     """Pieces of every document with their checksum and their rank among equal lengths of the same task."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         encode = encoder(vocabulary)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentora.llm.storage import lean
 from mentora.llm.words import distinct_rows, text_slices, word_hashes
 
 #: Labelled rows at most that a fit uses, those with the least hash of their doc_id.
@@ -149,10 +150,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 0) -> DataFrame:
     """The rows of ``docs`` whose text is predicted good, with all their columns."""
     model = train_quality(docs, labels, fold)
 
+    @lean
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [model.scores(text_features(data, at)) >= CUT for _, _, data, at in text_slices(batch.column("text"))]
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
+            for first, end, data, at in text_slices(batch.column("text")):
+                yield batch.slice(first, end - first).filter(pa.array(model.scores(text_features(data, at)) >= CUT))
 
     return docs.mapInArrow(good, docs.schema)
