@@ -27,7 +27,7 @@ _AT_START, _AFTER_SPACE, _AFTER_LINE = 0, 1, 2
 class ChunkEncoder:
     """``remember`` bounds the chunks kept between slices, some 30 bytes each; the results don't depend on it."""
 
-    def __init__(self, path: str, remember: int = 2_000_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -338,6 +338,7 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
     def arrays(values: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
         return {"hashes": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))}
 
+    @lean
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
@@ -348,6 +349,7 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
             kept = pa.array(_enough(overlap, n, m, num, den))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
         for tile in _groups(batches, ("key", "i", "j")):
@@ -359,6 +361,7 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
                     sent.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["a", "b"])
 
+    @lean
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _groups(batches, ("cluster", "i", "j")):
             a, b = _exact_links(tile, num, den)

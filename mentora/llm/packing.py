@@ -131,6 +131,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab
     plan = best_fit_plan(counts, capacity)
     ranked = pieces.join(bases.drop("n"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = int(plan[:, 2].max()) + 1 if len(plan) else 1
         keys = [plan[plan[:, 0] == x] for x in range(capacity + 1)]
