@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentora.llm.centroids import delta_lloyd
 from mentora.llm.chat import conversation_digests, format_conversations, turn_events
 from mentora.llm.decontam import contamination
 from mentora.llm.lm import lm_scores
 from mentora.llm.media import encode_media, media_features
 from mentora.llm.ngram_join import jaccard_components
 from mentora.llm.packing import pack_documents
+from mentora.llm.phrases import phrases
 from mentora.llm.pii import personal_data
 from mentora.llm.quality import quality_scores
+from mentora.llm.repeats import repeat_digests, repeated_spans
+from mentora.llm.sql import CENTROID_SQL, PHRASE_SQL, REPEAT_SQL
 from mentora.llm.token_counts import token_counts
 from mentora.llm.token_files import token_table
 
@@ -81,10 +85,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(repeated_spans(_table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files, op9_chat_formatting, op10_pii)}
+    return {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_lm_scoring, op7_ngram_jaccard_join, op8_token_files, op9_chat_formatting, op10_pii, op11_centroid_clustering, op12_phrase_mining, op13_substring_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force."""
-    return {"op9_chat_formatting": CHAT_SQL}
+    return {"op9_chat_formatting": CHAT_SQL, "op11_centroid_clustering": CENTROID_SQL, "op12_phrase_mining": PHRASE_SQL, "op13_substring_dedup": REPEAT_SQL}

@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Lets a table in buckets by ``part`` join on part and further keys where it lies, and be written without a sort.
+CO_LOCATED = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.maxConcurrentOutputFileWriters": "4"}
+#: Bytes of a row group of a table in buckets, whose rows are large.
+GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -46,7 +50,7 @@ class Scratch:
     """Tables in the shared folder that one operator writes; those that its result doesn't read are deleted at the end."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_dir(self.spark, name)
@@ -54,9 +58,27 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop_all_but(self, *kept: DataFrame) -> None:
-        """``kept`` are tables of this object. Files that can't be deleted stay, as they do no harm."""
+    def write_parts(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``write``, in buckets by the column ``part``, which is one number a task, so nothing is shuffled.
+
+        Within ``co_located``, joins on part and other columns shuffle the other side alone.
+        """
+        path, table = shared_dir(self.spark, name), f"spark_catalog.default.parts_{uuid.uuid4().hex}"
+        buckets = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with session_conf(self.spark, CO_LOCATED):
+            df.write.option("path", path).option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).bucketBy(buckets, "part").saveAsTable(table)
+        self.paths.append(path)
+        self.tables.append(table)
+        return self.spark.table(table)
+
+    def drop_all_but(self, *kept: DataFrame, tables: bool = True) -> None:
+        """``kept`` are tables of this object. Files that can't be deleted stay, as they do no harm.
+
+        Names of tables in buckets go as well, unless ``tables`` is false.
+        """
         read = {os.path.dirname(f) for df in kept for f in df.inputFiles()}
+        while tables and self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
         for path in self.paths:
             if not any(x.rstrip("/").endswith(path.rsplit("/", 1)[1]) for x in read):
                 fs, where = file_system(path)
@@ -68,12 +90,11 @@ class Scratch:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
-    """Jobs run inside hand their Python functions at most ``rows`` rows, and about ``size`` bytes, at a time."""
-    before = {k: spark.conf.get(k) for k in (BATCH_ROWS, BATCH_BYTES)}
-    had = int(before[BATCH_ROWS])
-    spark.conf.set(BATCH_ROWS, str(min(rows, had) if had > 0 else rows))
-    spark.conf.set(BATCH_BYTES, str(size))
+def session_conf(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Jobs run inside see ``wanted``; afterwards the settings are as before."""
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
@@ -81,6 +102,21 @@ def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterat
             spark.conf.set(k, v)
 
 
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Tables of ``write_parts`` are joined where they lie."""
+    with session_conf(spark, CO_LOCATED):
+        yield
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs run inside hand their Python functions at most ``rows`` rows, and about ``size`` bytes, at a time."""
+    had = int(spark.conf.get(BATCH_ROWS))
+    with session_conf(spark, {BATCH_ROWS: str(min(rows, had) if had > 0 else rows), BATCH_BYTES: str(size)}):
+        yield
+
+
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``function``, which at the end of a task gives unused memory back, as its worker waits for other tasks.
 
