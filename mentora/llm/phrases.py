@@ -34,6 +34,8 @@ PREFIX = 1_000_000
 #: Candidates of one group of a ranking before the last.
 RANKED = 1 << 17
 ARRAY_ROWS = 64
+#: Words that a task remembers in order to send the text of each once.
+REMEMBERED = 500_000
 NO_WORD = np.uint32(0xFFFFFFFF)
 
 _CUT = np.zeros(256, bool)
@@ -75,10 +77,14 @@ def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Sorted distinct rows and their summed counts."""
     if not len(rows):
         return rows, counts
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
-    return rows[new], np.add.reduceat(counts[order], new)
+    # Two columns make one sort key.
+    even = rows if rows.shape[1] % 2 == 0 else np.concatenate([rows, np.zeros((len(rows), 1), np.uint32)], 1)
+    keys = [(even[:, k].astype(np.uint64) << np.uint64(32)) | even[:, k + 1] for k in range(0, even.shape[1], 2)]
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in keys])
+    at = np.flatnonzero(new)
+    return rows[order[at]], np.add.reduceat(counts[order], at)
 
 
 def grow(rows: np.ndarray, counts: np.ndarray, least: int, partial: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -178,15 +184,17 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50,
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of a task with their counts; the text of each only where it is new to the task."""
-        seen = np.zeros(0, np.uint64)
+        seen: set[int] = set()
         for batch, data, keys, starts, ends, _, at in slices(batches):
             value, first, n = np.unique(keys, return_index=True, return_counts=True)
-            new = ~np.isin(value, seen)
+            new = np.array([x not in seen for x in value.tolist()], bool)
             row = np.searchsorted(at, starts[first], "right") - 1
             a, b = starts[first], ends[first]
             word = pa.array([data[x:y].tobytes().lower().decode() if z else None for x, y, z in zip(a.tolist(), b.tolist(), new.tolist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column("lang").take(pa.array(row)), word, pa.array(n)], ["key", "lang", "word", "n"])
-            seen = np.union1d(seen, value[new]) if len(seen) < GATHERED else value
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(value[new].tolist())
 
     with arrow_batches(spark, 4096):
         counted = scratch.write(texts.mapInArrow(count, "key long, lang string, word string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"), F.min("word").alias("word")), "words")
