@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -163,6 +163,40 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, pivot) of keys with two different nodes or more, each node once, from rows (key, node) sorted so.
+
+    The pivot is a key's least node. Of a key that goes on in the next batch only its pivot and last node are kept.
+    """
+    held: tuple[int, int, int, bool] | None = None  # key, pivot, last node and whether the pivot's row is out
+    for batch in batches:
+        key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        fresh = new.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        goes_on = held is not None and key[0] == held[0]
+        if goes_on:
+            new[0], fresh[0] = False, node[0] != held[2]
+        key, node, new = key[fresh], node[fresh], new[fresh]
+        if not len(key):
+            continue
+        group = np.cumsum(new)
+        pivots = np.concatenate([[held[1] if goes_on else 0], node[new]])
+        pivot = pivots[group]
+        several = np.bincount(group[~new], minlength=len(pivots)) > 0
+        out = ~new | several[group]
+        rows = [key[out], node[out], pivot[out]]
+        if goes_on and several[0] and not held[3]:
+            rows = [np.append(x, v) for x, v in zip(rows, (held[0], held[1], held[1]), strict=True)]
+        whole = (goes_on and held[3]) if group[-1] == 0 else False
+        held = int(key[-1]), int(pivot[-1]), int(node[-1]), bool(whole or several[group[-1]])
+        if len(rows[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["key", "node", "pivot"])
+
+
 def joining_links(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Links that join different components, at most one fewer than there are components.
 
@@ -300,11 +334,10 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
                 rows, keys = meeting_keys(values, np.concatenate([[0], np.cumsum(size[fresh])]), tiles)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whole[fresh][rows].view(np.int64))], ["key", "node"])
 
-    place = Window.partitionBy("key")
-    met = docs.mapInArrow(meetings, "key long, node long").withColumn("pivot", F.min("node").over(place)).withColumn("last", F.max("node").over(place))
     with arrow_batches(spark, TEXT_ROWS):
         base = scratch.write(docs.mapInArrow(sets, "doc_id long, n_shingles long, node long"), "sets")
-        met = scratch.write(met.where("pivot != last").distinct().drop("last"), "meetings")
+        raw = docs.mapInArrow(meetings, "key long, node long")
+        met = scratch.write(raw.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(shared_places), "key long, node long, pivot long"), "meetings")
 
     owners = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # Without repeated rows each set has one owning row, and no sort of whole sets is needed to make them distinct.
@@ -386,16 +419,16 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
         candidates = scratch.write(star.mapInArrow(possible, "a long, b long"), "candidates")
     cluster = scratch.write(connected_components(candidates), "clusters")
 
-    # Places whose sets the candidates leave apart.
-    split = met.join(cluster, "node", "left").withColumn("component", F.coalesce("component", "node")).join(of_nodes.select("node", F.length("bits").alias("bytes")), "node")
-    members_hash = F.bit_xor(F.xxhash64("node"))
-    for name, value in {"n": F.count("*"), "bytes": F.sum("bytes"), "least": F.min("component"), "most": F.max("component"), "all": members_hash}.items():
-        split = split.withColumn(name, value.over(place))
+    # Places whose sets the candidates leave apart. Facts of a place are summed up before they are shuffled.
+    named = met.join(cluster, "node", "left").join(of_nodes.select("node", F.length("bits").alias("bytes")), "node")
+    named = scratch.write(named.select("key", "node", "pivot", "bytes", F.coalesce("component", "node").alias("component")), "places")
+    facts = {"n": F.count("*"), "all": F.bit_xor(F.xxhash64("node")), "pivot": F.min("pivot"), "bytes": F.sum("bytes"), "least": F.min("component"), "most": F.max("component")}
+    apart = named.groupBy("key").agg(*[v.alias(k) for k, v in facts.items()]).where("least != most and n > 2")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    split = scratch.write(split.where("least != most and n > 2").select("key", "node", "component", blocks.alias("blocks"), "n", "all", "pivot"), "split-places")
     # Of places with the same sets one is enough.
-    different = split.groupBy("n", "all", "pivot").agg(F.min("key").alias("key")).select("key")
-    tiles_of = split.join(different, "key", "left_semi").drop("n", "all", "pivot").withColumn("own", block_of("blocks")).join(of_nodes, "node")
+    apart = apart.groupBy("n", "all", "pivot").agg(F.min(F.struct("key", blocks.alias("blocks"))).alias("x")).select("x.*")
+    apart = scratch.write(apart, "split-places")
+    tiles_of = named.select("key", "node", "component").join(apart, "key").withColumn("own", block_of("blocks")).join(of_nodes, "node")
     with arrow_batches(spark, SET_ROWS):
         more = scratch.write(tiled(tiles_of, "key", F.sequence(F.lit(0), F.col("blocks") - 1)).drop("blocks").mapInArrow(compare, "a long, b long"), "candidates")
     if more.head(1):
