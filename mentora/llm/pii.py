@@ -1,10 +1,11 @@
 """Personal data by patterns and by bootstrapped contexts, with DataFrame functions alone.
 
-Seeds are what the four base patterns find, and long hexadecimal keys in quotes after a name and a sign. The word before
-them, the two words before (a field's label and sign, say) and the word after are lexical patterns; characters glued to
-an identifier, such as quotes, are passed over. A pattern's score is the share of all its occurrences in the corpus that
-stand beside known identifiers, an instance's score is that of its best pattern. Both are computed in turn for a few
-rounds over the graph of patterns and instances; candidates of looser forms whose score ends high enough are added.
+Seeds are what the four base patterns find, and of the long hexadecimal keys in quotes after a name and a sign those
+whose checksum is even, about half. The word before them, the two words before (a field's label and sign, say) and the
+word after are lexical patterns; characters glued to an identifier, such as quotes, are passed over. A pattern's score is
+the share of all its occurrences in the corpus that stand beside known identifiers, unjudged candidates counting half; an
+instance's score is that of its best pattern. Both are computed in turn for a few rounds over the graph of patterns and
+instances; candidates of looser forms whose score ends high enough are added.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-SECRET_SEED = r"(?<=[A-Za-z_]\x20?[=:]\x20?[\x22\x27])[0-9A-Fa-f]{32,128}+(?=[\x22\x27])"
+SECRET_SEED = r"(?<=[A-Za-z_]\x20?[=:]\x20?[\x22\x27])[0-9A-Fa-f]{32,}+(?=[\x22\x27])"
 SECRET_SEED_PRESENT = r"[=:]\x20?[\x22\x27][0-9A-Fa-f]{32}"
 #: A quick test that every text with a match passes.
 PRESENT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
@@ -35,15 +36,20 @@ CANDIDATES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?)[A-Za-z0-9-]++)++",
     "card": BASE["card"],
     "phone": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,256}+(?![A-Za-z0-9_+/-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/-])",
 }
 CANDIDATE_PRESENT = {"email": r"(?:at\]|at\)|at\})", "card": PRESENT["card"], "phone": r"[0-9][\x20.-][0-9]", "secret": r"[A-Za-z0-9_+/-]{16}"}
+#: Keys whose crc32 is a multiple of this are seeds; contexts have to find the others.
+SEED_SHARE = 2
 ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_SCORE = 0.6
-WORD_CHARS = 32
-#: Patterns of at most 65 characters each.
-MOST_BROADCAST = 100_000
+#: Score of a candidate of which no pattern has said anything yet.
+UNJUDGED = 0.5
+#: Characters around a span that are searched for its words first; where they don't suffice, the whole text is.
+NEAR = 160
+#: Characters of all patterns that are broadcast; more are joined.
+MOST_BROADCAST = 8 << 20
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -110,20 +116,18 @@ def candidate_spans(text: Column) -> Column:
     return F.concat(*[_valid(find_spans(text, KINDS.index(x), p, CANDIDATE_PRESENT[x]), CANDIDATE_VALID[x]) for x, p in CANDIDATES.items()])
 
 
-def _short(word: Column) -> Column:
-    return F.substring(F.lower(word), 1, WORD_CHARS)
-
-
 def _with_contexts(text: Column, spans: Column) -> Column:
-    """The spans with their patterns: word before, two words before and word after, lower-cased, at most WORD_CHARS
-    characters of each; null at the text's ends. Characters glued to the span are passed over."""
+    """The spans with their patterns: word before, two words before and word after, lower-cased; null at the text's ends.
+    Characters glued to the span are passed over. Words are whole, however long."""
+    word = lambda x, p, group=1: F.nullif(F.lower(F.regexp_extract(x, p, group)), F.lit(""))
+    two = r"(\S++)\s++(\S++)\s++\S*+$"
 
     def near(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - 159, F.lit(1)), F.least(s["start"], F.lit(160)))
-        right = F.substring(text, s["end"] + 1, F.lit(80))
-        word = lambda x, p, group=1: F.nullif(_short(F.regexp_extract(x, p, group)), F.lit(""))
-        two = r"(\S+)\s+(\S+)\s+\S*$"
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word(left, r"(\S+)\s+\S*$").alias("before"), F.concat(word(left, two), F.lit(" "), word(left, two, 2)).alias("before2"), word(right, r"^\S*\s+(\S+)").alias("after"))
+        # White space before the two words, or after the next one, shows that nothing of them is cut off.
+        left, right = F.substring(text, F.greatest(s["start"] - (NEAR - 1), F.lit(1)), F.least(s["start"], F.lit(NEAR))), F.substring(text, s["end"] + 1, F.lit(NEAR))
+        left = F.when((s["start"] <= NEAR) | left.rlike(r"\s\S+\s+\S+\s+\S*$"), left).otherwise(F.substring(text, F.lit(1), s["start"]))
+        right = F.when(right.rlike(r"^\S*\s+\S+\s"), right).otherwise(F.substring(text, s["end"] + 1, F.length(text)))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word(left, r"(\S++)\s++\S*+$").alias("before"), F.concat(word(left, two), F.lit(" "), word(left, two, 2)).alias("before2"), word(right, r"^\S*+\s++(\S++)").alias("after"))
 
     return F.transform(spans, near)
 
@@ -134,7 +138,8 @@ def _spans_table(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("row_key", F.xxhash64("text"))
     apart = lambda column, others: F.filter(column, lambda c: ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("cands", candidate_spans(F.col("text")))
-    rows = rows.withColumn("seeds", apart(find_spans(F.col("text"), KINDS.index("secret"), SECRET_SEED, SECRET_SEED_PRESENT), "base"))
+    seeds = F.filter(find_spans(F.col("text"), KINDS.index("secret"), SECRET_SEED, SECRET_SEED_PRESENT), lambda s: F.crc32(s["value"].cast("binary")) % SEED_SHARE == 0)
+    rows = rows.withColumn("seeds", apart(seeds, "base"))
     rows = rows.withColumn("cands", apart("cands", F.concat("base", "seeds")))
     return rows.select("doc_id", "row_key", *[_with_contexts(F.col("text"), F.col(c)).alias(c) for c in ("base", "seeds", "cands")])
 
@@ -142,14 +147,15 @@ def _spans_table(docs: DataFrame) -> DataFrame:
 def _pattern_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """How often the words and word pairs ``wanted`` (word) occur in the corpus.
 
-    They are broadcast if no more than MOST_BROADCAST; more are joined after all words have been counted.
+    They are broadcast if they have no more than MOST_BROADCAST characters; more are joined after all words have been
+    counted.
     """
-    words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), _short)
+    words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.lower)
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
     split = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").select(words.alias("words"))
     occurring = split.select(F.explode(F.concat("words", pairs)).alias("word"))
     count = lambda df: df.groupBy("word").agg(F.count("*").alias("total"))
-    if wanted.count() <= MOST_BROADCAST:
+    if (wanted.agg(F.sum(F.length("word") + 16)).head()[0] or 0) <= MOST_BROADCAST:
         return count(occurring.join(F.broadcast(wanted), "word", "left_semi"))
     return count(occurring).join(wanted, "word", "left_semi")
 
@@ -157,25 +163,33 @@ def _pattern_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def discover(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Candidates of ``spans`` that high-confidence patterns vouch for: doc_id, row_key, kind, start, end, value.
 
-    Patterns beside fewer than MIN_SUPPORT different instances can't vouch for any and are not counted in the corpus.
+    Only patterns beside MIN_SUPPORT different known identifiers are counted in the corpus, each once, in the round in
+    which it has so many.
     """
     scratch = Scratch(docs.sparkSession)
     one = lambda column, seed: spans.select("doc_id", "row_key", F.explode(column).alias("s"), F.lit(seed).alias("seed")).select("doc_id", "row_key", "s.*", "seed")
     found = one("base", 1.0).union(one("seeds", 1.0)).union(one("cands", 0.0))
-    key = F.lower(F.col("value"))
+    key, pattern = F.lower(F.col("value")), ["kind", "side", "word"]
     sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("word")) for x in ("before", "before2", "after")])
     edges = found.select("kind", key.alias("instance"), "seed", F.explode(sides).alias("p")).select("kind", "instance", "seed", "p.side", "p.word").where("word is not null")
-    edges = scratch.write(edges.groupBy("kind", "side", "word", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "all-edges")
-    enough = edges.groupBy("kind", "side", "word").agg(F.count("*").alias("instances")).where(F.col("instances") >= MIN_SUPPORT).drop("instances")
-    edges = edges.join(enough, ["kind", "side", "word"])
-    wanted = scratch.write(enough.select("word").distinct(), "patterns")
-    edges = scratch.write(edges.join(_pattern_counts(docs, wanted), "word"), "pattern-edges")
-    instances = edges.groupBy("kind", "instance").agg(F.max("seed").alias("score"))
+    edges = scratch.write(edges.groupBy(*pattern, "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "all-edges")
+    # Only these can ever have the support.
+    enough = edges.groupBy(*pattern).agg(F.count("*").alias("instances")).where(F.col("instances") >= MIN_SUPPORT).drop("instances")
+    edges = scratch.write(edges.join(enough, pattern), "pattern-edges")
+    instances, totals = edges.groupBy("kind", "instance").agg(F.max("seed").alias("score")), None
     for _ in range(ROUNDS):
-        known = F.col("score") >= MIN_SCORE
-        patterns = edges.join(instances, ["kind", "instance"]).groupBy("kind", "side", "word").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"), F.sum(F.when(known, 1).otherwise(0)).alias("support"))
-        patterns = patterns.select("kind", "side", "word", F.when(F.col("support") >= MIN_SUPPORT, F.least("confidence", F.lit(1.0))).otherwise(0.0).alias("weight"))
-        instances = scratch.write(edges.join(patterns, ["kind", "side", "word"]).groupBy("kind", "instance").agg(F.greatest(F.max("seed"), F.max("weight")).alias("score")), "instances")
+        score = F.when(F.col("score") > 0, F.col("score")).otherwise(UNJUDGED)
+        beside = edges.join(instances, ["kind", "instance"]).groupBy(*pattern).agg(F.sum(F.col("n") * score).alias("mass"), F.sum(F.when(F.col("score") >= MIN_SCORE, 1).otherwise(0)).alias("support"))
+        beside = scratch.write(beside.where(F.col("support") >= MIN_SUPPORT), "supported")
+        wanted = beside.select("word").distinct()
+        wanted = scratch.write(wanted if totals is None else wanted.join(totals, "word", "left_anti"), "patterns")
+        if wanted.head(1):
+            new = scratch.write(_pattern_counts(docs, wanted), "totals")
+            totals = new if totals is None else totals.union(new)
+        if totals is None:
+            break
+        weights = beside.join(totals, "word").select(*pattern, F.least(F.col("mass") / F.col("total"), F.lit(1.0)).alias("weight"))
+        instances = scratch.write(edges.join(weights, pattern, "left").groupBy("kind", "instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("weight"), F.lit(0.0))).alias("score")), "instances")
     good = instances.where(F.col("score") >= MIN_SCORE)
     out = scratch.write(found.where("seed = 0").withColumn("instance", key).join(good, ["kind", "instance"], "left_semi").select("doc_id", "row_key", "kind", "start", "end", "value").distinct(), "discovered")
     scratch.drop_all_but(out)
@@ -206,7 +220,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans, all spans as
     kind:start:end joined by commas, by kind and start in code points, and n_spans, their number. A null text counts as
     empty; a null doc_id stays null; repeated rows are reported each and count as often as evidence; texts are searched
-    whole; an empty table gives no rows; other columns, whatever their names, are ignored. Finding the places of n spans
+    whole, and so are the words beside spans; an empty table gives no rows; other columns, whatever their names, are ignored. Finding the places of n spans
     in one text takes time in n * n.
     """
     rows = _all_spans(docs)

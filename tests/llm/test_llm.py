@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mentora.llm.bpe import default_vocabulary, encoder
 from mentora.llm.chat import conversation_digests, fold, format_conversations, parse, render, turn_events
@@ -311,8 +312,11 @@ def test_pii(spark, empty):
     assert personal_data(empty).count() == 0
 
 
-def test_pii_discovers_planted_identifiers(spark):
+def test_pii_discovers_planted_identifiers(spark, monkeypatch):
     """Keys in other alphabets than the seeds', and phone numbers without +, found by the labels that seeds stand beside."""
+    import mentora.llm.pii as pii
+
+    monkeypatch.setattr(pii, "SEED_SHARE", 1)  # all eight hexadecimal keys
     rng = np.random.default_rng(11)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(8)]
     keys = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ"), 14)) + f"_{rng.integers(10**6, 10**7)}" for _ in range(10)]
@@ -332,3 +336,30 @@ def test_pii_discovers_planted_identifiers(spark):
     assert {r.doc_id: r.text for r in clean}[103] == planted[3][1].replace(keys[3], "[SECRET]")
     assert {r.doc_id: (r.text, r.n_chars) for r in clean}[300] == (None, 5)
     assert redact(table.limit(0)).count() == 0
+
+
+def test_pii_discovers_keys_without_seeds_of_their_own(spark):
+    """Half of the keys are seeds by their checksum; the others are found by context alone, behind words of any length and
+    with whatever stands around. Keys beside other words stay."""
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 40 + 300 * (i % 5 == 0))) for i in range(40)]
+    text = lambda i: prose(i, 30)
+    filler = "w" * 400  # longer than the characters that are searched first
+    near = [(i, f'{text(i)} {filler if i % 3 == 0 else "plain"} token = "{k}" {text(i + 50)}' if i % 7 else f'token = "{k}"') for i, k in enumerate(keys)]
+    decoys = [(100 + i, f"{text(i)} batch {k[:20]}x7 {text(i + 5)}") for i, k in enumerate(keys)]
+    seeds = {i for i, k in enumerate(keys) if zlib.crc32(k.encode()) % 2 == 0}
+    assert 10 < len(seeds) < 30
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(near + decoys, "doc_id long, text string")).collect()}
+    assert all(got[d] == f"secret:{t.index(keys[d])}:{t.index(keys[d]) + len(keys[d])}" for d, t in near)  # recall 1 of 40 - len(seeds)
+    assert not any(got[d] for d, _ in decoys)
+
+
+def test_pii_contexts_are_whole_words(spark):
+    import mentora.llm.pii as pii
+
+    long, key = "L" * 500, "1.2.3.4"
+    texts = [f"a {long} b {key} c d", f"{long} {key}({long} {long} x", f"{key} {long}", f"p {long} ({long}{key} after", key, f" \t{key}\n", f"x\ty\n\n{key}"]
+    rows = spark.createDataFrame([(i, t, [(1, t.index(key), t.index(key) + len(key), key)]) for i, t in enumerate(texts)], f"i int, text string, s {pii.SPAN}")
+    got = {r.i: (r.x.before, r.x.before2, r.x.after) for r in rows.select("i", pii._with_contexts(F.col("text"), F.col("s"))[0].alias("x")).collect()}
+    low = long.lower()
+    assert got == {0: ("b", f"{low} b", "c"), 1: (low, None, low), 2: (None, None, low), 3: (low, f"p {low}", "after"), 4: (None, None, None), 5: (None, None, None), 6: ("y", "x y", None)}
