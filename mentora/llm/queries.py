@@ -23,7 +23,9 @@ from mentora.llm.token_files import token_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of fewer partitions than the session has cores, as of few row groups, is dealt out."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
