@@ -31,8 +31,6 @@ GATHERED = 2_000_000
 CELL = 2_000_000
 #: A prefix with more occurrences is dealt to so many more cells.
 PREFIX = 1_000_000
-#: Candidates of one group of a ranking before the last.
-RANKED = 1 << 17
 ARRAY_ROWS = 64
 #: Words that a task remembers in order to send the text of each once.
 REMEMBERED = 500_000
@@ -272,7 +270,8 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50,
     kept = best.join(covering, "words", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).drop("longer")
     kept = scratch.write(kept.withColumn("id", F.col("words")[0]).join(vocabulary.select("id", "lang"), "id").drop("id"), "candidates")
 
-    groups = max(1, math.ceil(kept.count() / RANKED))
+    # Groups of a ranking before the last, so many that theirs and the last one are about as large.
+    groups = max(1, math.isqrt(kept.count() // top))
     by_number = (F.desc("score"), F.desc("a"))
     salt = F.pmod(F.xxhash64("words"), F.lit(groups))
     # A phrase that ``top`` others of its group pass by numbers alone can't be among the first.
