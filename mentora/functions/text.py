@@ -6,21 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters that count as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def add_content(cur: Column, new: Column) -> Column:
-    """Append an utterance: stripped, not repeated, with a full stop between sentences."""
-    new = strip(new)
+    """Append a stripped utterance: not repeated, with a full stop between sentences."""
     joined = F.concat(cur, F.when(cur.rlike(r"[.!?]$"), "").otherwise("."), F.lit(" "), new)
     return F.when((cur == "") | (cur == new), new).otherwise(joined)
 
 
 def fold_content(pieces: Column) -> Column:
-    """One text of an ordered array of utterances."""
-    return F.aggregate(pieces, F.lit(""), add_content)
+    """One text of an ordered array of utterances, each stripped once."""
+    return F.aggregate(F.transform(pieces, strip), F.lit(""), add_content)
 
 
 def correct_from_str(text: Column) -> Column:

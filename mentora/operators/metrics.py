@@ -6,42 +6,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def turn_probabilities(predictions: DataFrame, mode: str = "mean-ar") -> DataFrame:
-    """(d, turn, correct, p): skill probabilities of a turn combined by prod, mean-ar or mean-geo."""
+#: Equal parts of 0 to 1 over which the running counts of an AUC are split.
+SCORE_BUCKETS = 4096
+METRICS = ("accuracy", "auc", "precision", "recall", "f1", "log_likelihood", "brier")
+
+
+def turn_probabilities(predictions: DataFrame, mode: str = "mean-ar", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, d, turn, correct, p): skill probabilities of a turn combined by prod, mean-ar or mean-geo."""
     modes = {"mean-ar": F.avg("p"), "prod": F.product("p"), "mean-geo": F.pow(F.product("p"), 1 / F.count("p"))}
     if mode not in modes:
         raise ValueError(f"unknown mode {mode}")
-    return predictions.groupBy("d", "turn").agg(F.max("correct").alias("correct"), F.round(modes[mode], 9).alias("p"))
+    return predictions.groupBy(*by, "d", "turn").agg(F.max("correct").alias("correct"), modes[mode].alias("p"))
 
 
-def drop_first_turns(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("turn"))).where("k > 1").drop("k")
+def drop_first_turns(turns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return turns.withColumn("k", F.row_number().over(Window.partitionBy(*by, "d").orderBy("turn"))).where("k > 1").drop("k")
 
 
 def last_turns(turns: DataFrame) -> DataFrame:
     return turns.groupBy("d").agg(F.max(F.struct("turn", "correct", "p")).alias("x")).select("d", "x.*")
 
 
-def scores(turns: DataFrame) -> DataFrame:
-    """n, accuracy, auc, precision, recall, f1, log_likelihood and brier in one row.
+def scores(turns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, accuracy, auc, precision, recall, f1, log_likelihood and brier in one row, or one for each value of ``by``.
 
-    AUC counts pairs by distinct score: rows are summed by score before the running count, so the window, which has
-    to see all scores in order, gets one row for each distinct score. NaN rows drop out, as do rows without label.
+    AUC counts pairs by distinct score: rows are summed by score, running counts go over the scores of one of
+    SCORE_BUCKETS equal parts of 0 to 1, and the parts' sums over the parts. NaN rows drop out, as do rows without label.
     """
     rows = turns.where("correct is not null and not isnan(p)").withColumn("hard", F.bround("p", 0))
     eps, y = 1e-12, F.col("correct")
     p = F.least(F.greatest(F.col("p"), F.lit(eps)), F.lit(1 - eps))
-    by_score = rows.groupBy("p").agg(
+    by_score = rows.groupBy(*by, "p").agg(
         F.count("*").alias("n"), F.sum(y).alias("pos"), F.sum((F.col("hard") == y).cast("int")).alias("hits"), F.sum(F.when((F.col("hard") == 1) & (y == 1), 1).otherwise(0)).alias("tp"), F.sum((F.col("hard") == 1).cast("int")).alias("said"),
         F.sum(y * F.ln(p) + (1 - y) * F.ln(1 - p)).alias("ll"), F.sum((F.col("p") - y) * (F.col("p") - y)).alias("sq"),
-    )
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.withColumn("wins", F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2))
-    total = ranked.agg(*[F.sum(c).alias(c) for c in ("n", "pos", "hits", "tp", "said", "ll", "sq", "wins")])
+    ).withColumn("part", F.floor(F.col("p") * SCORE_BUCKETS))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    misses = F.col("n") - F.col("pos")
+    inside = by_score.withColumn("below", F.coalesce(F.sum(misses).over(before(*by, "part").orderBy("p")), F.lit(0)))
+    wins = F.sum(F.col("pos") * (F.col("below") + misses / 2)).alias("wins")
+    parts = inside.groupBy(*by, "part").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "hits", "tp", "said", "ll", "sq")], wins)
+    # At most SCORE_BUCKETS + 1 rows a group.
+    below = F.coalesce(F.sum(misses).over(before(*by).orderBy("part")), F.lit(0))
+    total = parts.withColumn("wins", F.col("wins") + F.col("pos") * below).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "hits", "tp", "said", "ll", "sq", "wins")])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     auc = F.when((F.col("pos") > 0) & (F.col("pos") < F.col("n")), F.col("wins") / (F.col("pos") * (F.col("n") - F.col("pos"))))
-    out = total.select(F.col("n").cast("long").alias("n"), (F.col("hits") / F.col("n")).alias("accuracy"), auc.alias("auc"), ratio("tp", "said").alias("precision"), ratio("tp", "pos").alias("recall"), F.when(F.col("said") + F.col("pos") > 0, 2 * F.col("tp") / (F.col("said") + F.col("pos"))).otherwise(0.0).alias("f1"), (F.col("ll") / F.col("n")).alias("log_likelihood"), (F.col("sq") / F.col("n")).alias("brier"))
-    return out.select("n", *[F.round(F.col(c).cast("double"), 8).alias(c) for c in ("accuracy", "auc", "precision", "recall", "f1", "log_likelihood", "brier")])
+    per_row = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    out = {"accuracy": per_row("hits"), "auc": auc, "precision": ratio("tp", "said"), "recall": ratio("tp", "pos"), "f1": F.when(F.col("said") + F.col("pos") > 0, 2 * F.col("tp") / (F.col("said") + F.col("pos"))).otherwise(0.0), "log_likelihood": per_row("ll"), "brier": per_row("sq")}
+    return total.select(*by, F.col("n").cast("long").alias("n"), *[F.round(c.cast("double"), 8).alias(x) for x, c in out.items()])
 
 
 def pair_agreement(ratings: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:

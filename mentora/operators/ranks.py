@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mentora.sources.files import stored
 
-def with_position(rows: DataFrame, bucket: Column, *order: str) -> DataFrame:
-    """Adds ``position`` from 0 in the order of ``bucket`` and then ``order``, and ``total``.
 
-    Buckets have to stand in order: those of a row before another's are no larger. Only the bucket counts are summed over
-    all; a task sorts one bucket.
+def with_position(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``position`` from 0 in the order of ``order``, and ``total``.
+
+    Rows are dealt out by ranges of ``order``, which Spark takes from a sample, and sorted within a partition; the sorted
+    table is written once, so that a repeated task can't number rows anew. Only the sizes of the partitions are summed
+    over all, and only these are sent to the tasks.
     """
-    rows = rows.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    run = Window.orderBy("_bucket")
-    offsets = counts.select("_bucket", (F.sum("_n").over(run) - F.col("_n")).alias("_offset"), F.sum("_n").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn("_local", local).join(offsets, "_bucket").withColumn("position", F.col("_offset") + F.col("_local") - 1).drop("_bucket", "_local", "_offset", "_n")
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_local": local}), "positions")
+    run = Window.orderBy("_part")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(run) - F.col("_n")).alias("_offset"), F.sum("_n").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    # One row for each partition.
+    return placed.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_offset") + F.col("_local")).drop("_part", "_local", "_offset")
+
+
+def order_of_groups(rows: DataFrame, by: tuple[str, ...], name: str, *order: str) -> DataFrame:
+    """(*by, name, place): the place from 0 of every ``name`` within ``by`` in order of its first row by ``order``."""
+    first = rows.groupBy(*by, name).agg(F.min(F.struct(*order)).alias("_first"))
+    placed = with_position(first, *by, "_first")
+    start = placed.groupBy(*by).agg(F.min("position").alias("_start"))
+    same = [placed[c].eqNullSafe(start[c]) for c in by]
+    joined = placed.join(start, same) if by else placed.crossJoin(start)
+    return joined.select(*[placed[c] for c in by], placed[name], (F.col("position") - F.col("_start")).alias("place"))
 
 
 def fold_slices(placed: DataFrame, folds: int = 5) -> DataFrame:
@@ -34,7 +49,7 @@ def draw_shortfall(pool: DataFrame, used: DataFrame, target: int, order: str) ->
     ``used`` (family, d) left out; ``have`` counts these, ``k`` numbers the drawn ones from 1."""
     have = used.groupBy("family").agg(F.count("*").alias("have"))
     fresh = pool.join(used.select("d"), "d", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("family").orderBy(order)).cast("long"))
-    return fresh.join(F.broadcast(have), "family", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("k") <= target - F.col("have"))
+    return fresh.join(have, "family", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("k") <= target - F.col("have"))
 
 
 def holdout(placed: DataFrame, test: Column) -> DataFrame:

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from mentora.functions import text as T
 from mentora.operators import bkt, metrics, ranks
 from mentora.operators import turns as U
+from mentora.plans.annotating import ANNOTATING, ANNOTATING_SQL
+from mentora.plans.features import FEATURES, FEATURES_SQL
 from mentora.plans.flows import FLOWS, FLOWS_SQL
 from mentora.plans.reports import REPORTS, REPORTS_SQL
 from mentora.plans.sql import SQL
+from mentora.plans.tracing import TRACING, TRACING_SQL
 from mentora.sources import adapters as A
 from mentora.sources.files import stored
 
@@ -83,7 +86,7 @@ def prompt_batches(spark, sf_dir):
 def prompt_batch_members(spark, sf_dir):
     """Distinct user prompts in batches of 64, by order of md5 over all."""
     rows = A.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.md5("text").alias("h")).distinct()
-    placed = ranks.with_position(rows, F.substring("h", 1, 2), "h")
+    placed = ranks.with_position(rows, "h")
     return placed.select("h", F.floor(F.col("position") / 64).cast("long").alias("batch"), (F.col("position") % 64).alias("place"))
 
 
@@ -107,8 +110,11 @@ def final_override_audit(spark, sf_dir):
 
 @query
 def population_audit(spark, sf_dir):
+    """Dialogues, turns and observations are summed by dialogue, skills by skill, so no row is expanded for them."""
     obs = _obs(spark, sf_dir)
-    return obs.groupBy("split").agg(F.countDistinct("d").alias("dialogues"), F.countDistinct("d", "turn").alias("turns"), F.count("*").alias("observations"), F.countDistinct("kc").alias("kcs"), F.sum("correct").cast("long").alias("n_correct"))
+    by_dialogue = obs.groupBy("split", "d", "turn").agg(F.count("*").alias("n"), F.sum("correct").alias("c")).groupBy("split", "d").agg(F.count("*").alias("turns"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    out = by_dialogue.groupBy("split").agg(F.count("*").alias("dialogues"), F.sum("turns").alias("turns"), F.sum("n").alias("observations"), F.sum("c").cast("long").alias("n_correct"))
+    return out.join(obs.select("split", "kc").distinct().groupBy("split").agg(F.count("*").alias("kcs")), "split")
 
 
 @query
@@ -168,10 +174,9 @@ def kc_keep_report(spark, sf_dir):
 
 @query
 def kc_dictionary(spark, sf_dir):
-    """Dense ids in order of first appearance; the window sees one row for each skill."""
+    """Dense ids in order of first appearance."""
     rows = A.annotated_turns(spark, sf_dir).select("d", "turn", F.posexplode("kcs").alias("pos", "kc"))
-    first = rows.groupBy("kc").agg(F.min(F.struct("d", "turn", "pos")).alias("first"))
-    return first.select("kc", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("kc_id"))
+    return ranks.order_of_groups(rows, (), "kc", "d", "turn", "pos").select("kc", F.col("place").alias("kc_id"))
 
 
 @query
@@ -227,8 +232,8 @@ def order_ids(spark, sf_dir):
 
 @query
 def global_order_ids(spark, sf_dir):
-    """A dense order number over all observations by dialogue, turn and skill; a bucket has 1000 dialogue numbers."""
-    placed = ranks.with_position(_obs(spark, sf_dir), F.floor(F.col("d") / 1000), "d", "turn", "pos")
+    """A dense order number over all observations by dialogue, turn and skill."""
+    placed = ranks.with_position(_obs(spark, sf_dir), "d", "turn", "pos")
     return placed.select("d", "turn", F.col("pos").cast("long").alias("pos"), F.col("position").alias("order_id"))
 
 
@@ -245,7 +250,8 @@ def bkt_forward_fixed(spark, sf_dir):
 
 
 def _turns_of(spark, sf_dir, mode="mean-ar"):
-    return metrics.turn_probabilities(bkt.predict(_obs(spark, sf_dir)), mode)
+    """Turn probabilities to nine places, so that equal ones are equal in every engine."""
+    return metrics.turn_probabilities(bkt.predict(_obs(spark, sf_dir)), mode).withColumn("p", F.round("p", 9))
 
 
 def _shown(turns):
@@ -279,7 +285,7 @@ def final_turn_metrics(spark, sf_dir):
 
 @query
 def bkt_fit_params(spark, sf_dir):
-    return bkt.fit(_obs(spark, sf_dir).where("split = 'train'"))
+    return bkt.fit(bkt.label_sequences(_obs(spark, sf_dir).where("split = 'train'")))
 
 
 @query
@@ -287,7 +293,7 @@ def bkt_fit_eval(spark, sf_dir):
     """Fit on train, predict test, first turns left out."""
     obs = _obs(spark, sf_dir)
     predictions = bkt.fit_predict(obs.where("split = 'train'"), obs.where("split = 'test'"))
-    return metrics.scores(metrics.drop_first_turns(metrics.turn_probabilities(predictions)))
+    return metrics.scores(metrics.drop_first_turns(metrics.turn_probabilities(predictions)).withColumn("p", F.round("p", 9)))
 
 
 @query
@@ -307,7 +313,7 @@ def majority_baseline(spark, sf_dir):
 def rotating_folds(spark, sf_dir):
     """Sizes of the slices of each rotation, and the sum of its test orders."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), _md5("221-", "o_orderkey").alias("h"))
-    slices = ranks.fold_slices(ranks.with_position(rows, F.substring("h", 1, 3), "h", "d"))
+    slices = ranks.fold_slices(ranks.with_position(rows, "h", "d"))
     sizes = [_count(F.col("slice") == x).alias(f"n_{x}") for x in ("train", "validation", "test")]
     return slices.groupBy("fold").agg(*sizes, F.sum(F.when(F.col("slice") == "test", F.col("d")).otherwise(0)).alias("test_d_sum"))
 
@@ -316,7 +322,7 @@ def rotating_folds(spark, sf_dir):
 def rotating_fold_slices(spark, sf_dir):
     """Train, validation and test slice of each of five rotations of the orders in md5 order."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), _md5("221-", "o_orderkey").alias("h"))
-    slices = ranks.fold_slices(ranks.with_position(rows, F.substring("h", 1, 3), "h", "d"))
+    slices = ranks.fold_slices(ranks.with_position(rows, "h", "d"))
     return slices.groupBy("fold", "slice").agg(F.count("*").alias("n"), F.sum("d").alias("d_sum"))
 
 
@@ -418,8 +424,8 @@ def reload_parity(spark, sf_dir):
 
 
 def catalogue() -> dict[str, Query]:
-    return _QUERIES | REPORTS | FLOWS
+    return _QUERIES | REPORTS | FLOWS | TRACING | ANNOTATING | FEATURES
 
 
 def catalogue_sql() -> dict[str, str]:
-    return SQL | REPORTS_SQL | FLOWS_SQL
+    return SQL | REPORTS_SQL | FLOWS_SQL | TRACING_SQL | ANNOTATING_SQL | FEATURES_SQL

@@ -232,7 +232,7 @@ SELECT slice, count(*) AS n, CAST(sum(d) AS BIGINT) AS d_sum FROM s GROUP BY sli
 def holdout_split(spark, sf_dir):
     """The train file in 80 % train and 20 % validation, the test file as it is."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), F.md5(F.concat(F.lit("221-"), F.col("o_orderkey").cast("string"))).alias("h"))
-    placed = ranks.with_position(rows.where("d % 5 != 0"), F.substring("h", 1, 3), "h", "d")
+    placed = ranks.with_position(rows.where("d % 5 != 0"), "h", "d")
     out = ranks.holdout(placed, F.lit(False)).select("d", "slice").unionByName(rows.where("d % 5 = 0").select("d", F.lit("test").alias("slice")))
     return out.groupBy("slice").agg(F.count("*").alias("n"), F.sum("d").alias("d_sum"))
 
@@ -254,16 +254,6 @@ def append_check(spark, sf_dir):
     return ranks.unchanged_prefix(rows.where("o_orderkey % 10 != 0"), rows, F.col("o_orderkey") % 10 == 0)
 
 
-@flow(f"""WITH {TURNS}, st AS (SELECT kc, count(*) AS n, sum(correct) AS c FROM obs WHERE split = 'train' AND d % 211 = 1 GROUP BY kc), est AS (SELECT kc FROM st WHERE c > 0 AND c < n),
-base AS (SELECT avg(correct) AS b FROM obs WHERE split = 'train' AND d % 211 = 1)
-SELECT count(*) AS n, count(*) FILTER (kc IN (SELECT kc FROM est)) AS estimable, count(*) FILTER (kc NOT IN (SELECT kc FROM est)) AS rescued, round(avg(CASE WHEN kc IN (SELECT kc FROM est) THEN 0.5 ELSE b END), 8) AS mean_p FROM obs, base WHERE split = 'test'""")
-def estimable_split(spark, sf_dir):
-    """Test rows of skills that a small train part can estimate; the others get its base rate."""
-    obs = _obs(spark, sf_dir)
-    rows = bkt.rescued(obs.where("split = 'train' and d % 211 = 1"), obs.where("split = 'test'"), lambda known: known.withColumn("p", F.lit(0.5)))
-    return rows.agg(F.count("*").alias("n"), F.sum((~F.col("rescued")).cast("long")).alias("estimable"), F.sum(F.col("rescued").cast("long")).alias("rescued"), _rounded(F.avg("p"), "mean_p"))
-
-
 _PARAMETERS = "kp AS (SELECT kc, sum(correct) / count(*) AS share FROM obs GROUP BY kc), par AS (SELECT kc, share AS prior, share / 4 AS learns, share / 3 AS guesses, share / 5 AS slips FROM kp)"
 
 

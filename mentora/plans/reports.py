@@ -26,7 +26,8 @@ def report(sql: str):
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.turn_probabilities(bkt.predict(U.observations(A.annotated_turns(spark, sf_dir))))
+    """To nine places, so that equal ones are equal in every engine."""
+    return metrics.turn_probabilities(bkt.predict(U.observations(A.annotated_turns(spark, sf_dir)))).withColumn("p", F.round("p", 9))
 
 
 _TP = f"WITH RECURSIVE {TURNS}, {PREDICT}, tp AS (SELECT d, turn, max(correct) AS correct, round(avg(p), 9) AS p FROM pred GROUP BY d, turn)"

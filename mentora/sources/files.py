@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -139,14 +140,18 @@ def dictionary_file(dataset: str, tags: str, folder: str = "data/annotated") ->
     return f"{folder}/kc_dict_{dataset}_{tags}.json"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder ``spark.checkpoint.dir`` and read it from there."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder ``spark.checkpoint.dir``; local sessions may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = LOCAL_SHARED
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it from there."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
