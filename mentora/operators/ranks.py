@@ -30,9 +30,11 @@ def order_of_groups(rows: DataFrame, by: tuple[str, ...], name: str, *order: str
     first = rows.groupBy(*by, name).agg(F.min(F.struct(*order)).alias("_first"))
     placed = with_position(first, *by, "_first")
     start = placed.groupBy(*by).agg(F.min("position").alias("_start"))
-    same = [placed[c].eqNullSafe(start[c]) for c in by]
-    joined = placed.join(start, same) if by else placed.crossJoin(start)
-    return joined.select(*[placed[c] for c in by], placed[name], (F.col("position") - F.col("_start")).alias("place"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
+    joined = placed.alias("p").join(start.alias("s"), same) if by else placed.alias("p").crossJoin(start.alias("s"))
+    return joined.select(*[f"p.{c}" for c in (*by, name)], (F.col("position") - F.col("_start")).alias("place"))
 
 
 def fold_slices(placed: DataFrame, folds: int = 5) -> DataFrame:

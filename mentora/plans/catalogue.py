@@ -12,6 +12,7 @@ from mentora.operators import bkt, metrics, ranks
 from mentora.operators import turns as U
 from mentora.plans.annotating import ANNOTATING, ANNOTATING_SQL
 from mentora.plans.features import FEATURES, FEATURES_SQL
+from mentora.plans.filing import FILING, FILING_SQL
 from mentora.plans.flows import FLOWS, FLOWS_SQL
 from mentora.plans.reports import REPORTS, REPORTS_SQL
 from mentora.plans.sql import SQL
@@ -424,8 +425,8 @@ def reload_parity(spark, sf_dir):
 
 
 def catalogue() -> dict[str, Query]:
-    return _QUERIES | REPORTS | FLOWS | TRACING | ANNOTATING | FEATURES
+    return _QUERIES | REPORTS | FLOWS | TRACING | ANNOTATING | FEATURES | FILING
 
 
 def catalogue_sql() -> dict[str, str]:
-    return SQL | REPORTS_SQL | FLOWS_SQL | TRACING_SQL | ANNOTATING_SQL | FEATURES_SQL
+    return SQL | REPORTS_SQL | FLOWS_SQL | TRACING_SQL | ANNOTATING_SQL | FEATURES_SQL | FILING_SQL

@@ -9,10 +9,18 @@ from mentora.operators import arrays, calls, checks, examples, tagging
 from mentora.sources.files import annotated_file, dictionary_file, new_path, read_csv_strings, read_ids
 
 
-def flaky(prompt, system):
-    if prompt.startswith("bad"):
-        raise OSError(prompt)
-    return f"{system}:{prompt[::-1]}"
+def provider():
+    """A function that travels to the workers with its code, as they don't import tests."""
+
+    def flaky(prompt, system):
+        if prompt.startswith("bad"):
+            raise OSError(prompt)
+        return f"{system}:{prompt[::-1]}"
+
+    return flaky
+
+
+flaky = provider()
 
 
 def test_calls_ask_once_and_keep_what_is_finished(spark):
