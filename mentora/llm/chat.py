@@ -59,10 +59,9 @@ def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
             parts[message] = [text or ""]
         elif event == "regenerate":
             parts[message] = [text or ""]
-            keep = order.index(message) + 1
-            for x in order[keep:]:
+            while order[-1] != message:  # each message goes once, so this is linear in the log
+                x = order.pop()
                 del roles[x], parts[x]
-            del order[keep:]
     return [(roles[m], "".join(parts[m])) for m in order]
 
 
@@ -89,16 +88,24 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """``turns`` (conv_id, turn, role, text) as an event log: a start and two streamed deltas for each turn.
+    """``turns`` (conv_id, turn, role, text) as the event log of a conversation as it comes about.
 
-    Turns with equal number follow each other by role, then in input order. A null text has empty deltas; a null turn
-    number comes first.
+    Every turn has a start and two streamed halves of its text in false order; then an assistant's is regenerated, followed
+    by a message that is dropped again with a second regeneration, and streamed anew, and any other is edited to the
+    whole text. So what is left are the turns.
+
+    Turns with equal number follow each other by role, then in input order. A null text has empty events; a null turn
+    number comes first; other columns are ignored; an empty table has no events.
     """
-    piece = lambda event, step, text: F.struct(F.lit(event).alias("event"), F.lit(step).alias("step"), F.expr(text).alias("text"))
+    piece = lambda event, step, text, late=False: F.struct(F.lit(event).alias("event"), F.lit(step).alias("step"), F.expr(text).alias("text"), F.lit(late).alias("late"))
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message"))
     half = "cast(ceil(length(text) / 2) as int)"
-    rows = rows.withColumn("e", F.explode(F.array(piece("start", 0, "''"), piece("delta", 1, f"substring(text, 1, {half})"), piece("delta", 2, f"substring(text, {half} + 1)"))))
-    return rows.select("conv_id", F.struct("turn", "role", "message", "e.step").alias("sequence"), F.col("e.event").alias("event"), "message", "role", F.col("e.text").alias("text"))
+    first, rest = f"substring(text, 1, {half})", f"substring(text, {half} + 1)"
+    opened = [piece("start", 0, "''"), piece("delta", 1, rest), piece("delta", 2, first)]
+    again = [piece("regenerate", 3, "''"), piece("start", 4, "text", True), piece("delta", 5, "text", True), piece("regenerate", 6, "''"), piece("delta", 7, first), piece("delta", 8, rest)]
+    rows = rows.withColumn("e", F.explode(F.when(F.col("role") == LOSS_ROLE, F.array(*opened, *again)).otherwise(F.array(*opened, piece("edit", 3, "text")))))
+    message = F.concat(F.col("message").cast("string"), F.when(F.col("e.late"), "-dropped").otherwise(""))
+    return rows.select("conv_id", F.struct("turn", "role", "message", "e.step").alias("sequence"), F.col("e.event").alias("event"), message.alias("message"), "role", F.col("e.text").alias("text"))
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
@@ -132,7 +139,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Read formatted conversations back: n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars."""
+    """Read formatted conversations back: n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars.
+
+    ``formatted`` has the columns of ``format_conversations`` without nulls but in conv_id; one row for each of its rows,
+    repeated ones too; an empty table gives none; other columns are ignored; texts are read whole.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
