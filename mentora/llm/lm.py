@@ -220,7 +220,11 @@ class BigramModel:
 
 
 def train(docs: DataFrame) -> BigramModel:
-    """Count the words and bigrams of ``docs`` (text) into mapped files in the shared folder."""
+    """Count the words and bigrams of ``docs`` (text) into mapped files in the shared folder.
+
+    A null, empty or blank text counts with its end alone; repeated rows count each; other columns are ignored; an empty
+    table gives a model that knows no word.
+    """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("text").cast("string"))

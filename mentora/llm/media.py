@@ -280,7 +280,11 @@ def _histograms(samples: np.ndarray, rows: list[int]) -> np.ndarray:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of ``media`` (doc_id, media): clip, first_frame, n_frames, start_s, end_s. A null file has none."""
+    """Timed clip rows of ``media`` (doc_id, media): clip, first_frame, n_frames, start_s, end_s. A null file has none.
+
+    Repeated files have the same rows each; a null doc_id stays null; an empty table gives none; other columns are
+    ignored; an empty text has one clip, that of its padding.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +300,11 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What reading ``media`` (doc_id, media) back gives: sizes, digests and a feature string of frames, cuts and grey levels."""
+    """What reading ``media`` (doc_id, media) back gives: sizes, digests and a feature string of frames, cuts and grey levels.
+
+    One row for each of ``media``, repeated ones too; a null doc_id stays null; an empty table gives none; other columns
+    are ignored; files are read whole.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,7 +111,11 @@ def in_fold(doc_id: Column, fold: int = 0) -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, fold: int = 0) -> QualityModel:
-    """Fit on at most MAX_LABELLED labelled documents outside fold ``fold``; rows without doc_id or label don't count."""
+    """Fit on at most MAX_LABELLED labelled documents outside fold ``fold``; rows without doc_id or label don't count.
+
+    Labels of one doc_id that differ count as 1, of repeated documents one is taken, null and empty texts count with the
+    features zero, and other columns are ignored. Without rows, or without both labels, every score is 0.5.
+    """
     usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)").where(~in_fold(F.col("doc_id"), fold))
     sample = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
 
@@ -147,7 +151,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 0) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 0) -> DataFrame:
-    """The rows of ``docs`` whose text is predicted good, with all their columns."""
+    """The rows of ``docs`` whose text is predicted good, with all their columns, whatever their names and values.
+
+    Repeated rows are judged and kept each, null and empty texts by their score, rows without doc_id too; an empty table
+    stays empty.
+    """
     model = train_quality(docs, labels, fold)
 
     @lean

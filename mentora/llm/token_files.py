@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mentora.llm.bpe import default_vocabulary, encoder
@@ -66,8 +66,25 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
     return ordered.mapInArrow(write, "file string, part int, n_docs long, n_tokens long")
 
 
+def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, ids: bool = True) -> DataFrame:
+    """(file, doc_id, position, n_tokens[, ids]) of token files, of documents with ``low`` <= doc_id <= ``high`` alone.
+
+    The bounds reach the files' statistics and page indexes, so groups and pages outside are not read; without ``ids``
+    only the metadata columns are. Rows without doc_id are in no range, but are read where none is given. The order is
+    that of the files.
+    """
+    rows = spark.read.schema("doc_id long, position long, n_tokens long, ids array<int>").parquet(path)
+    for bound, test in ((low, F.col("doc_id") >= F.lit(low)), (high, F.col("doc_id") <= F.lit(high))):
+        rows = rows if bound is None else rows.where(test)
+    return rows.select(F.col("_metadata.file_name").alias("file"), "doc_id", "position", "n_tokens", *(["ids"] if ids else []))
+
+
 def token_table(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
-    """Write ``docs`` as token files, read them back and return doc_id, start, n_tokens and ids_crc32 from the files."""
+    """Write ``docs`` as token files, read them back and return doc_id, start, n_tokens and ids_crc32 from the files.
+
+    A null or empty text has the end id alone, a null doc_id stays null, repeated rows come back each, an empty table
+    gives no rows, other columns are ignored and texts are taken whole.
+    """
     spark = docs.sparkSession
     path = shared_dir(spark, "tokens")
     manifest = write_table(write_token_files(docs, path, end_id, vocabulary), "token-manifest")

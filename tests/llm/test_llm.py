@@ -19,7 +19,7 @@ from mentora.llm.media import clips, decode_files, encode_media, encode_slice, m
 from mentora.llm.ngram_join import jaccard_components, keep_one
 from mentora.llm.packing import best_fit_plan, pack_documents
 from mentora.llm.pii import personal_data, redact
-from mentora.llm.quality import fit, quality_scores
+from mentora.llm.quality import fit, keep_good, quality_scores
 from mentora.llm.token_counts import UnigramCounter, default_pieces, token_counts
 from mentora.llm.token_files import token_table
 
@@ -363,3 +363,74 @@ def test_pii_contexts_are_whole_words(spark):
     got = {r.i: (r.x.before, r.x.before2, r.x.after) for r in rows.select("i", pii._with_contexts(F.col("text"), F.col("s"))[0].alias("x")).collect()}
     low = long.lower()
     assert got == {0: ("b", f"{low} b", "c"), 1: (low, None, low), 2: (None, None, low), 3: (low, f"p {low}", "after"), 4: (None, None, None), 5: (None, None, None), 6: ("y", "x y", None)}
+
+
+def test_chat_log_is_real(spark):
+    """The log holds edits and regenerations that change what a plain run over its texts would give, and any order folds alike."""
+    turns = [(1, 0, "user", "abc"), (1, 1, "assistant", "defg"), (1, 2, "user", ""), (1, 3, "assistant", None), (2, 0, "assistant", "x" * 100_001)]
+    log = turn_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert Counter(r.event for r in log.collect()) == {"start": 8, "delta": 19, "edit": 2, "regenerate": 6}
+    shuffled = log.orderBy(F.xxhash64("text", "event", "message")).repartition(3)
+    a, b = ({r.conv_id: r.formatted for r in format_conversations(x).collect()} for x in (log, shuffled))
+    assert a == b and [parse(a[1]), parse(a[2])] == [[(r, t or "") for c, _, r, t in turns if c == k] for k in (1, 2)]
+    assert format_conversations(log.limit(0)).count() == 0 and turn_events(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    many = [("start", i, "user", "t") for i in range(20_000)] + [("regenerate", 0, None, "")] + [("start", -i - 1, "user", "t") for i in range(20_000)]
+    assert len(fold(iter(many))) == 20_001
+
+
+def test_selective_reads_of_token_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from mentora.llm.storage import arrow_batches
+    from mentora.llm.token_files import read_tokens, write_token_files
+
+    rows = [(i, prose(i, 40)) for i in range(400)] + [(7, "again"), (None, "none")]
+    path = f"file://{tmp_path}/tokens"
+    with arrow_batches(spark, 50):
+        write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, group_tokens=2000).collect()
+    e = encoder(default_vocabulary())
+    got = Counter((r.doc_id, tuple(r.ids)) for r in read_tokens(spark, path, 5, 8).collect())
+    assert got == Counter((d, (*e.whole(t).tolist(), 0)) for d, t in rows if d is not None and 5 <= d <= 8)
+    meta = read_tokens(spark, path, low=390, ids=False)
+    assert sorted(r.doc_id for r in meta.collect()) == list(range(390, 400)) and read_tokens(spark, path, ids=False).count() == len(rows)
+    plan = meta._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,390)" in plan and "ids" not in plan.split("ReadSchema")[1]
+    files = [pq.ParquetFile(f) for f in (tmp_path / "tokens").glob("*.parquet")]
+    assert sum(f.num_row_groups for f in files) > len(files) and all(f.metadata.row_group(0).column(0).has_column_index and f.metadata.row_group(0).column(0).has_offset_index for f in files)
+    assert "DELTA_BINARY_PACKED" in files[0].metadata.row_group(0).column(0).encodings
+
+
+def test_bradley_terry_fit_is_the_optimum_of_the_pairs():
+    """Against a plain gradient descent over all pairs, and the cut against every possible cut."""
+    rng = np.random.default_rng(4)
+    labels = np.array([1] * 12 + [0] * 9)
+    features = np.where(labels[:, None] == 1, 0.8, 0.0) * np.array([1, -0.5, 0]) + rng.normal(size=(21, 3))
+    model = fit(features, labels)
+    x = ((features - features.mean(0)) / features.std(0)).clip(-8, 8)
+    pairs = [x[a] - x[b] for a in np.flatnonzero(labels == 1) for b in np.flatnonzero(labels == 0)]
+    draw = np.random.default_rng(7)
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    sample = x[draw.choice(good, len(pairs))] - x[draw.choice(bad, len(pairs))]
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w += 0.05 * ((sample / (1 + np.exp(sample @ w))[:, None]).mean(0) - 1e-3 * w)
+    assert np.allclose(w, model.weights, atol=1e-4)
+    won = np.mean([d @ model.weights > 0 for d in pairs])
+    raw = x @ model.weights
+    balance = lambda c: np.mean(raw[labels == 1] >= c) + np.mean(raw[labels == 0] < c)
+    assert won > 0.7 and balance(model.cut) == max(map(balance, [*raw, raw.max() + 1]))
+    assert np.array_equal(model.scores(features) >= 0.3, raw >= model.cut)
+
+
+def test_quality_edges(spark):
+    good, bad = [(i, prose(i, 60)) for i in range(40)], [(100 + i, "BUY!! " * (20 + i)) for i in range(40)]
+    odd = [(None, prose(1, 60)), (None, None), (3, prose(3, 60)), (3, "BUY!! " * 30), (400, ""), (401, "word " * 50_000)]
+    table = spark.createDataFrame([(d, t, 1, 0.5, "f") for d, t in good + bad + odd], "doc_id long, text string, quality int, score double, features string").repartition(3)
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in good + bad] + [(5, 0), (5, 1), (None, 1), (6, None), (7, 9)], "doc_id long, quality int")
+    rows = quality_scores(table, labels).collect()
+    assert len(rows) == 86 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
+    kept = keep_good(table, labels)
+    assert kept.columns == table.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.predicted)
+    once = spark.createDataFrame([(5, 1)], "doc_id long, quality int").union(labels.where("doc_id is null or doc_id != 5"))
+    assert {(r.doc_id, r.score) for r in quality_scores(table, once).collect()} == {(r.doc_id, r.score) for r in rows}
+    assert keep_good(table.limit(0), labels).count() == 0
