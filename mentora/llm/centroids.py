@@ -106,7 +106,7 @@ def delta_lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64
                 yield pa.RecordBatch.from_arrays([batch.column("part").slice(0, 1), pa.array([number], pa.int32()), one(ids), one(x)], ["part", "block", "ids", "x"])
                 number += 1
 
-    with arrow_batches(spark, BLOCK_ROWS):
+    with arrow_batches(spark, BLOCK_ROWS, 4 << 20):
         blocks = scratch.write_parts(rows.mapInArrow(pack, "part int, block int, ids array<long>, x array<long>"), "vector-blocks")
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256).asc_nulls_last()
     centroids = np.array([r.x for r in rows.orderBy(order, "x").limit(k).select("x").collect()], np.int64).reshape(-1, dims)

@@ -37,9 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession)
     nodes = scratch.write(halves(edges).select(F.col("a").alias("node")).distinct(), "component-nodes")
     now = scratch.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
-    before = None
+    # Steps never add edges, so their tables need no more files than these two.
+    before, files = None, scratch.files_for(nodes, now)
     while (at := state(now)) != before:
         before = at
-        now = scratch.write(small_star(large_star(now)), "component-edges")
+        now = scratch.write(small_star(large_star(now)), "component-edges", files)
         scratch.drop_all_but(nodes, now)
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

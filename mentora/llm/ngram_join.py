@@ -417,26 +417,28 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
         star = star.join(of_nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")), x)
     with arrow_batches(spark, SET_ROWS):
         candidates = scratch.write(star.mapInArrow(possible, "a long, b long"), "candidates")
-    cluster = scratch.write(connected_components(candidates), "clusters")
+    # Nothing below that is not made of texts has more rows than the meetings.
+    few = scratch.files_for(met)
+    cluster = scratch.write(connected_components(candidates), "clusters", few)
 
     # Places whose sets the candidates leave apart. Facts of a place are summed up before they are shuffled.
     named = met.join(cluster, "node", "left").join(of_nodes.select("node", F.length("bits").alias("bytes")), "node")
-    named = scratch.write(named.select("key", "node", "pivot", "bytes", F.coalesce("component", "node").alias("component")), "places")
+    named = scratch.write(named.select("key", "node", "pivot", "bytes", F.coalesce("component", "node").alias("component")), "places", few)
     facts = {"n": F.count("*"), "all": F.bit_xor(F.xxhash64("node")), "pivot": F.min("pivot"), "bytes": F.sum("bytes"), "least": F.min("component"), "most": F.max("component")}
     apart = named.groupBy("key").agg(*[v.alias(k) for k, v in facts.items()]).where("least != most and n > 2")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     # Of places with the same sets one is enough.
     apart = apart.groupBy("n", "all", "pivot").agg(F.min(F.struct("key", blocks.alias("blocks"))).alias("x")).select("x.*")
-    apart = scratch.write(apart, "split-places")
+    apart = scratch.write(apart, "split-places", few)
     tiles_of = named.select("key", "node", "component").join(apart, "key").withColumn("own", block_of("blocks")).join(of_nodes, "node")
     with arrow_batches(spark, SET_ROWS):
         more = scratch.write(tiled(tiles_of, "key", F.sequence(F.lit(0), F.col("blocks") - 1)).drop("blocks").mapInArrow(compare, "a long, b long"), "candidates")
     if more.head(1):
-        cluster = scratch.write(connected_components(candidates.union(more)), "clusters")
+        cluster = scratch.write(connected_components(candidates.union(more)), "clusters", few)
 
     # Clusters: their arrays, once each, and in every part of a large cluster also those of its least set.
     total = cluster.join(of_nodes.select("node", "size"), "node").groupBy("component").agg(F.ceil(F.sum("size") / PART_ELEMENTS).cast("int").alias("blocks"))
-    total = scratch.write(total, "cluster-sizes")
+    total = scratch.write(total, "cluster-sizes", few)
     members = cluster.join(total, "component").select("node", F.col("component").alias("cluster"), "blocks").withColumn("own", block_of("blocks"))
     members = members.withColumn("others", F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
     members = members.withColumn("component", F.col("node"))
@@ -451,13 +453,13 @@ def _sets_and_groups(docs: DataFrame, words: int, num: int, den: int) -> tuple[D
     links = decided(members.drop("blocks"), True)
     component = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     if total.where("blocks > 1").head(1):
-        component = scratch.write(connected_components(links), "components")
+        component = scratch.write(connected_components(links), "components", few)
         apart = members.where("blocks > 1").drop("component", "others").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ones = apart.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("cluster")
         apart = apart.join(open_ones, "cluster").withColumn("others", F.expr("filter(sequence(0, blocks - 1), x -> x != own)")).drop("blocks")
-        component = scratch.write(connected_components(links.union(decided(apart, False))), "components")
+        component = scratch.write(connected_components(links.union(decided(apart, False))), "components", few)
     else:
-        component = scratch.write(component, "components")
+        component = scratch.write(component, "components", few)
     scratch.drop_all_but(base, component)
     return base, component
 

@@ -173,23 +173,24 @@ def discover(docs: DataFrame, spans: DataFrame) -> DataFrame:
     sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("word")) for x in ("before", "before2", "after")])
     edges = found.select("kind", key.alias("instance"), "seed", F.explode(sides).alias("p")).select("kind", "instance", "seed", "p.side", "p.word").where("word is not null")
     edges = scratch.write(edges.groupBy(*pattern, "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "all-edges")
+    files = scratch.files_for(edges)  # what follows is no larger
     # Only these can ever have the support.
     enough = edges.groupBy(*pattern).agg(F.count("*").alias("instances")).where(F.col("instances") >= MIN_SUPPORT).drop("instances")
-    edges = scratch.write(edges.join(enough, pattern), "pattern-edges")
+    edges = scratch.write(edges.join(enough, pattern), "pattern-edges", files)
     instances, totals = edges.groupBy("kind", "instance").agg(F.max("seed").alias("score")), None
     for _ in range(ROUNDS):
         score = F.when(F.col("score") > 0, F.col("score")).otherwise(UNJUDGED)
         beside = edges.join(instances, ["kind", "instance"]).groupBy(*pattern).agg(F.sum(F.col("n") * score).alias("mass"), F.sum(F.when(F.col("score") >= MIN_SCORE, 1).otherwise(0)).alias("support"))
-        beside = scratch.write(beside.where(F.col("support") >= MIN_SUPPORT), "supported")
+        beside = scratch.write(beside.where(F.col("support") >= MIN_SUPPORT), "supported", files)
         wanted = beside.select("word").distinct()
-        wanted = scratch.write(wanted if totals is None else wanted.join(totals, "word", "left_anti"), "patterns")
+        wanted = scratch.write(wanted if totals is None else wanted.join(totals, "word", "left_anti"), "patterns", files)
         if wanted.head(1):
-            new = scratch.write(_pattern_counts(docs, wanted), "totals")
+            new = scratch.write(_pattern_counts(docs, wanted), "totals", files)
             totals = new if totals is None else totals.union(new)
         if totals is None:
             break
         weights = beside.join(totals, "word").select(*pattern, F.least(F.col("mass") / F.col("total"), F.lit(1.0)).alias("weight"))
-        instances = scratch.write(edges.join(weights, pattern, "left").groupBy("kind", "instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("weight"), F.lit(0.0))).alias("score")), "instances")
+        instances = scratch.write(edges.join(weights, pattern, "left").groupBy("kind", "instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("weight"), F.lit(0.0))).alias("score")), "instances", files)
     good = instances.where(F.col("score") >= MIN_SCORE)
     out = scratch.write(found.where("seed = 0").withColumn("instance", key).join(good, ["kind", "instance"], "left_semi").select("doc_id", "row_key", "kind", "start", "end", "value").distinct(), "discovered")
     scratch.drop_all_but(out)

@@ -27,6 +27,8 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CO_LOCATED = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.maxConcurrentOutputFileWriters": "4"}
 #: Bytes of a row group of a table in buckets, whose rows are large.
 GROUP_BYTES = 16 << 20
+#: Bytes of a file of a table whose size is known to be small.
+FILE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -52,12 +54,23 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.tables = spark, [], []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
+        """The table in as many files as tasks, or in ``files`` where these are given and fewer."""
         path = shared_dir(self.spark, name)
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def files_for(self, *tables: DataFrame) -> int:
+        """Files that suffice for a table no larger than ``tables`` of this object, FILE_BYTES each."""
+        total = 0
+        for folder in {os.path.dirname(f) for df in tables for f in df.inputFiles()}:
+            path = next((p for p in self.paths if folder.rstrip("/").endswith(p.rsplit("/", 1)[1])), None)
+            if path:
+                fs, where = file_system(path)
+                total += sum(x.size for x in fs.get_file_info(pafs.FileSelector(where)) if x.is_file)
+        return max(1, -(-total // FILE_BYTES))
+
     def write_parts(self, df: DataFrame, name: str) -> DataFrame:
         """Like ``write``, in buckets by the column ``part``, which is one number a task, so nothing is shuffled.
 
@@ -110,13 +123,21 @@ def co_located(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
+def arrow_batches(spark: SparkSession, rows: int, size: int = 1 << 20) -> Iterator[None]:
     """Jobs run inside hand their Python functions at most ``rows`` rows, and about ``size`` bytes, at a time."""
     had = int(spark.conf.get(BATCH_ROWS))
     with session_conf(spark, {BATCH_ROWS: str(min(rows, had) if had > 0 else rows), BATCH_BYTES: str(size)}):
         yield
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 1 << 20) -> None:
+    """The same from now on, for results that are computed after their operator has returned. Large batches stay with the
+    executors as fragments of native memory."""
+    had = int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, str(min(rows, had) if had > 0 else rows))
+    spark.conf.set(BATCH_BYTES, str(size))
+
+
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``function``, which at the end of a task gives unused memory back, as its worker waits for other tasks.
 
