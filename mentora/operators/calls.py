@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from mentora.sources.files import stored
 
 CACHE = "key string, system string, prompt string, response string, model string"
+#: Files of the cache table also have the prompts without answer, their errors and the run of each row.
+ATTEMPTS = f"{CACHE}, error string, run string"
+#: A task asks at least so many prompts where there are as many, as each task writes a file.
+TASK_PROMPTS = 500
 #: A provider gets a prompt and a system message (or None) and gives the answer, or raises.
 Provider = Callable[[str, str | None], str]
 
@@ -60,43 +65,50 @@ def _answers(provider: Provider, system: str | None, batch: int) -> Callable[[It
     return run
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table at ``path``; empty where there is none yet."""
+def _attempts(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(CACHE).parquet(path)
+        return spark.read.schema(ATTEMPTS).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], CACHE)
+        return spark.createDataFrame([], ATTEMPTS)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table at ``path``; empty where there is none yet."""
+    return _attempts(spark, path).where("response is not null").drop("error", "run")
 
 
 def cached_calls(rows: DataFrame, provider: Provider, cache: str, model: str, system: str | None = None, batch: int = 10, wave: int = 100_000, tasks: int | None = None, strict: bool = True) -> Calls:
     """``rows`` (prompt, ...) with a ``response`` for each non-null prompt.
 
-    Only distinct prompts that the cache lacks for this model and system message are sent: by ``tasks`` tasks, each with
-    ``batch`` calls at a time, in waves of about ``wave`` prompts. Answers of a wave are appended to the cache when it ends,
-    whatever later waves do; a prompt whose call raises counts as failed and the others go on. At the end failures raise
-    CallsFailed unless not ``strict``. A task that Spark repeats asks its prompts again. A null prompt gets no response.
+    Only distinct prompts that the cache lacks for this model and system message are sent, each task with ``batch`` calls at
+    a time. A task's answers are appended to the cache when it ends, whatever becomes of the others; a prompt whose call
+    raises counts as failed and the others go on. All prompts are one job, whose tasks have about ``wave`` prompts for each
+    ``spark.sql.shuffle.partitions`` of them, but TASK_PROMPTS at least. With ``tasks``, no more than so many run at a time,
+    and the prompts go in jobs of about ``wave``. At the end failures raise CallsFailed unless not ``strict``. A task that
+    Spark repeats asks its prompts again. A null prompt gets no response.
     """
-    spark = rows.sparkSession
+    spark, run = rows.sparkSession, uuid.uuid4().hex
     keyed = rows.withColumn("_key", _key(model, system, F.col("prompt")))
     have = read_cache(spark, cache).where(F.col("model") == model)
     distinct = keyed.where("prompt is not null").groupBy(F.col("_key").alias("key")).agg(F.min("prompt").alias("prompt"))
     wanted = stored(distinct.join(have.select("key"), "key", "left_anti"), "wanted-prompts")
-    asked, answered, failures = wanted.count(), 0, None
-    waves = max(1, -(-asked // wave))
+    asked, slots = wanted.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    waves = max(1, -(-asked // wave)) if tasks else 1
+    width = tasks or max(slots, -(-asked // max(TASK_PROMPTS, wave // slots)))
     for number in range(waves if asked else 0):
-        part = wanted.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == number)
-        spread = part.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-        found = stored(spread.mapInArrow(_answers(provider, system, batch), "key string, prompt string, response string, error string"), "answers")
-        good = found.where("response is not null")
-        good.select("key", F.lit(system).cast("string").alias("system"), "prompt", "response", F.lit(model).alias("model")).write.mode("append").partitionBy("model").parquet(cache)
-        answered += good.count()
-        bad = found.where("response is null").select("prompt", F.coalesce("error", F.lit("no response")).alias("error"))
-        failures = bad if failures is None else failures.unionByName(bad)
+        part = wanted.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == number) if waves > 1 else wanted
+        found = part.repartition(width, "key").mapInArrow(_answers(provider, system, batch), "key string, prompt string, response string, error string")
+        named = found.select("key", F.lit(system).cast("string").alias("system"), "prompt", "response", "error", F.lit(run).alias("run"), F.lit(model).alias("model"))
+        # Version 2 moves a task's file into the table when the task ends, not when all have ended.
+        named.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("model").parquet(cache)
+    own = _attempts(spark, cache).where((F.col("model") == model) & (F.col("run") == run))
+    answered = own.where("response is not null").count() if asked else 0
+    failures = own.where("response is null").select("prompt", F.coalesce("error", F.lit("no response")).alias("error"))
     # Runs that overlap may have asked the same.
     known = read_cache(spark, cache).where(F.col("model") == model).groupBy(F.col("key").alias("_key")).agg(F.min("response").alias("response"))
-    out = Calls(keyed.join(known, "_key", "left").drop("_key"), asked, answered, spark.createDataFrame([], "prompt string, error string") if failures is None else failures)
+    out = Calls(keyed.join(known, "_key", "left").drop("_key"), asked, answered, failures)
     if answered < asked and strict:
         raise CallsFailed(out)
     return out

@@ -1,5 +1,8 @@
 """Cached calls, annotation by levels, arrays, examples and invariants on hard rows."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +46,36 @@ def test_calls_ask_once_and_keep_what_is_finished(spark):
     assert calls.cached_calls(rows.limit(0), flaky, new_path(spark, "cache"), "m").rows.count() == 0
 
 
+def test_calls_take_no_more_jobs_for_more_waves(spark):
+    rows = spark.range(40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    spark.sparkContext.setJobGroup("many-waves", "")
+    done = calls.cached_calls(rows, flaky, new_path(spark, "cache"), "m", "s", wave=1)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-waves"))
+    spark.sparkContext.setJobGroup("", "")
+    assert (done.asked, done.answered) == (40, 40) and jobs < 15  # 80 and more with jobs for each wave
+
+
+def test_answers_of_finished_tasks_outlive_the_job(spark):
+    def dies(prompt, system):
+        if prompt == "p7":
+            time.sleep(8)
+            os._exit(1)
+        return prompt
+
+    cache, rows = new_path(spark, "cache"), spark.range(40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    with pytest.raises(Exception, match="(?i)worker"):
+        calls.cached_calls(rows, dies, cache, "m")
+    kept = calls.read_cache(spark, cache).count()
+    again = calls.cached_calls(rows, flaky, cache, "m")
+    assert 0 < kept < 40 and again.asked == 40 - kept and again.rows.where("response is null").count() == 0
+
+
+def test_a_limit_of_tasks_asks_all_in_waves(spark):
+    rows = spark.range(40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    done = calls.cached_calls(rows, flaky, new_path(spark, "cache"), "m", "s", wave=20, tasks=2)
+    assert (done.asked, done.answered, done.failures.count(), done.rows.where("response is null").count()) == (40, 40, 0, 0)
+
+
 def test_uncached_calls_ask_for_every_row(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bad")], "d int, prompt string")
     got = {r.d: (r.response, r.error) for r in calls.uncached_calls(rows, flaky, "s").collect()}
