@@ -27,7 +27,8 @@ def with_position(rows: DataFrame, *order: str) -> DataFrame:
 
 def order_of_groups(rows: DataFrame, by: tuple[str, ...], name: str, *order: str) -> DataFrame:
     """(*by, name, place): the place from 0 of every ``name`` within ``by`` in order of its first row by ``order``."""
-    first = rows.groupBy(*by, name).agg(F.min(F.struct(*order)).alias("_first"))
+    # Written, as the ranges of its positions are taken from a sample, for which ``rows`` would be computed once more.
+    first = stored(rows.groupBy(*by, name).agg(F.min(F.struct(*order)).alias("_first")), "first-rows")
     placed = with_position(first, *by, "_first")
     start = placed.groupBy(*by).agg(F.min("position").alias("_start"))
     same = F.lit(True)

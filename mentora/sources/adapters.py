@@ -24,7 +24,9 @@ def annotated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
-    turns = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("turn")).agg(F.min("l_returnflag").alias("flag"), F.array_sort(F.collect_set("p_brand")).alias("kcs"))
+    # Dealt out by dialogue once; everything below, and what groups by dialogue later, finds its rows together.
+    lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).repartition("l_orderkey")
+    turns = lines.groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("turn")).agg(F.min("l_returnflag").alias("flag"), F.array_sort(F.collect_set("p_brand")).alias("kcs"))
     turns = turns.withColumn("og", F.when(F.col("flag") == "A", True).when(F.col("flag") == "R", False))
     turns = turns.withColumn("kcs", F.when(F.col("og").isNull(), F.array().cast("array<string>")).otherwise(F.col("kcs")))
     turns = turns.withColumn("is_last", F.col("turn") == F.max("turn").over(Window.partitionBy("d")))

@@ -150,6 +150,21 @@ def test_dialogue_arrays(spark):
     assert [(x.p, x.label) for x in pairs.x] == [(0.1, 0), (0.2, 1)] and pairs.y == []
 
 
+def test_vectors_stay_out_of_the_shuffles(spark):
+    turns = spark.range(4000).select((F.col("id") % 500).alias("d"), F.floor(F.col("id") / 500).cast("int").alias("turn"), F.lit(True).alias("correct"), F.array(F.lit("a"), F.lit("b")).alias("kcs"))
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], "kc string, kc_id int")
+    vectors = spark.range(300).select(F.col("id").cast("int").alias("kc_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("vector"))
+    # No table is small enough to be sent to all tasks by itself, as with many vectors.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = arrays.dialogue_arrays(turns, ids, vectors)
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 500 and {tuple(v[:2]) for r in got for v in r.kc_means} == {(0.5, 0.5)}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_population_invariants_fail_the_job(spark):
     schema = "d int, turn int, pos int, kc string, correct int, split string"
     sound = [(1, 1, 0, "a", 1, "train"), (1, 1, 1, "b", 1, "train"), (1, 2, 0, "a", 0, "train"), (2, 1, 0, "a", 1, "test"), (2, 2, 0, "a", 1, "test")]
