@@ -47,7 +47,16 @@ def predict(obs: DataFrame, parameters: DataFrame | None = None, fallback: DataF
 
     Sequences are short arrays per dialogue and skill, so no group grows beyond one dialogue.
     """
-    rows = obs.groupBy(*by, "d", "kc").agg(F.array_sort(F.collect_list(F.struct("turn", "pos", "correct"))).alias("seq"))
+    return _predicted(_sequences(obs, by), parameters, fallback, by, margin)
+
+
+def _sequences(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, d, kc, seq): the rows of every skill of a dialogue in order."""
+    return obs.groupBy(*by, "d", "kc").agg(F.array_sort(F.collect_list(F.struct("turn", "pos", "correct"))).alias("seq"))
+
+
+def _predicted(rows: DataFrame, parameters: DataFrame | None, fallback: DataFrame | None, by: tuple[str, ...], margin: float) -> DataFrame:
+    """``predict`` of rows of ``_sequences``."""
     if parameters is not None:
         rows = rows.join(parameters, [*by, "kc"], "left")
     if fallback is not None:
@@ -187,7 +196,11 @@ def _fit_large(counted: DataFrame, seeds: dict[str, int], restarts: int, iterati
 def _counted(seqs: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(*by, kc, seq, times) of distinct sequences, written once, and (*by, kc, cells, least, most) of every skill."""
     counted = stored(seqs.groupBy(*by, "kc", "seq").agg(F.count("*").alias("times")), "sequences")
-    return counted, counted.groupBy(*by, "kc").agg(F.sum(F.size("seq")).alias("cells"), F.min(F.array_min("seq")).alias("least"), F.max(F.array_max("seq")).alias("most"))
+    return counted, _sizes(counted, by)
+
+
+def _sizes(counted: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return counted.groupBy(*by, "kc").agg(F.sum(F.size("seq")).alias("cells"), F.min(F.array_min("seq")).alias("least"), F.max(F.array_max("seq")).alias("most"))
 
 
 def fit(seqs: DataFrame, by: tuple[str, ...] = (), seed: int = 221, restarts: int = 5, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
@@ -198,11 +211,15 @@ def fit(seqs: DataFrame, by: tuple[str, ...] = (), seed: int = 221, restarts: in
     and the sequences of larger ones are dealt out, one job an iteration. A skill's starts come from ``seed`` and its place
     in order of first appearance among all skills of its ``by``. Null labels and skills are left out.
     """
-    spark, keys = seqs.sparkSession, [*by, "kc"]
-    counted, skills = _counted(seqs, by)
-    places = ranks.order_of_groups(seqs, by, "kc", "d", "first")
-    mixed = stored(skills.where("least < most").join(places, keys), "skills")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema if f.name in keys)
+    counted, _ = _counted(seqs, by)
+    return _fit_counted(counted, ranks.order_of_groups(seqs, by, "kc", "d", "first"), by, seed, restarts, iterations, tolerance)
+
+
+def _fit_counted(counted: DataFrame, places: DataFrame, by: tuple[str, ...], seed: int = 221, restarts: int = 5, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """``fit`` of distinct sequences (*by, kc, seq, times); ``places`` (*by, kc, place) is the order of first appearance."""
+    spark, keys = counted.sparkSession, [*by, "kc"]
+    mixed = stored(_sizes(counted, by).where("least < most").join(places, keys), "skills")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema if f.name in keys)
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         found = _fit_group(frame["seq"].tolist(), frame["times"].tolist(), seed + int(frame["place"].iloc[0]), restarts, iterations, tolerance)
@@ -274,8 +291,12 @@ def fit_filtered(seqs: DataFrame, by: tuple[str, ...] = (), grid: DataFrame | No
     All of it are JVM expressions. The distinct sequences of a skill of up to TASK_CELLS labels are one array, on which all
     iterations run; larger skills take one job an iteration over all sequences.
     """
-    spark, keys = seqs.sparkSession, [*by, "kc"]
-    counted, skills = _counted(seqs, by)
+    return _filtered_counted(_counted(seqs, by)[0], by, grid, seed, iterations, cap)
+
+
+def _filtered_counted(counted: DataFrame, by: tuple[str, ...], grid: DataFrame | None = None, seed: int = 221, iterations: int = 30, cap: float = 0.5) -> DataFrame:
+    """``fit_filtered`` of distinct sequences (*by, kc, seq, times)."""
+    spark, keys, skills = counted.sparkSession, [*by, "kc"], _sizes(counted, by)
     if grid is None:
         settings = spark.range(1).select(F.lit(iterations).alias("_iterations"), F.lit(float(cap)).alias("_cap"))
     else:
@@ -346,13 +367,26 @@ def cross_predictions(obs: DataFrame, slices: DataFrame, scored: str = "test", f
     if fitter not in ("filtered", "em") or (fitter == "em" and grid is not None):
         raise ValueError(f"no fitter {fitter} with a grid" if grid is not None else f"unknown fitter {fitter}")
     by = ("fold", "setting") if grid is not None else ("fold",)
-    seqs = stored(label_sequences(obs).join(slices.where("slice = 'train'").select("d", "fold"), "d"), "fold-sequences")
-    parameters = fit(seqs, ("fold",), **options) if fitter == "em" else fit_filtered(seqs, ("fold",), grid, **options)
-    fallback = weighted_fallback(parameters, observation_counts(seqs, ("fold",)), by, ("fold",))
-    held = obs.join(slices.where(F.col("slice") == scored).select("d", "fold"), "d")
+    # Observations are read once; every dialogue has the folds in which it is trained on, and in which it is scored.
+    folds = lambda name: F.array_sort(F.collect_list(F.when(F.col("slice") == name, F.col("fold"))))
+    rows = stored(_sequences(obs).join(slices.groupBy("d").agg(folds("train").alias("train"), folds(scored).alias("held")), "d"), "fold-sequences")
+    known = F.filter("seq", lambda x: x["correct"].isNotNull())
+    seqs = rows.where("kc is not null").select("kc", "d", "train", F.transform(known, lambda x: x["correct"].cast("int")).alias("seq"), F.transform(known, lambda x: F.struct(x["turn"].alias("turn"), x["pos"].alias("pos"))).alias("at")).where("size(seq) > 0")
+    # Few rows: dialogues with the same labels of a skill and the same folds are one.
+    alike = stored(seqs.groupBy("kc", "seq", "train").agg(F.count("*").alias("times"), F.min("d").alias("d")), "alike").withColumn("fold", F.explode("train"))
+    counted = stored(alike.groupBy("fold", "kc", "seq").agg(F.sum("times").alias("times")), "sequences")
+    if fitter == "em":
+        first = seqs.select("kc", "d", F.get("at", F.lit(0)).alias("first")).join(alike.groupBy("fold", "kc").agg(F.min("d").alias("d")), ["kc", "d"])
+        parameters = _fit_counted(counted, ranks.order_of_groups(first, ("fold",), "kc", "d", "first"), ("fold",), **options)
+    else:
+        parameters = _filtered_counted(counted, ("fold",), grid, **options)
+    counts = counted.groupBy("fold", "kc").agg(F.sum(F.size("seq") * F.col("times")).cast("long").alias("n"))
+    fallback = weighted_fallback(parameters, counts, by, ("fold",))
+    # Dealt out by dialogue before predictions make many rows of one.
+    held = rows.where("size(held) > 0").select("d", "kc", "seq", "held").repartition("d").select("d", "kc", "seq", F.explode("held").alias("fold"))
     if grid is not None:
         held = held.crossJoin(F.broadcast(grid.select("setting")))
-    return predict(held, parameters, fallback, by, 0.0 if fitter == "em" else 1e-6)
+    return _predicted(held, parameters, fallback, by, 0.0 if fitter == "em" else 1e-6)
 
 
 def over_folds(scores: DataFrame, metrics: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:

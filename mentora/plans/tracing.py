@@ -11,6 +11,7 @@ from mentora.operators import bkt, metrics, ranks
 from mentora.operators import turns as U
 from mentora.plans.sql import TURNS
 from mentora.sources import adapters as A
+from mentora.sources.files import stored
 
 TRACING: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TRACING_SQL: dict[str, str] = {}
@@ -170,6 +171,12 @@ def sweep_best(spark, sf_dir):
     return ranks.best_setting(_sweep(spark, sf_dir), "auc", "setting")
 
 
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with each skill told apart by dialogue number, written once, as counts, fit, base rate and test rows use them."""
+    obs = _obs(spark, sf_dir).withColumn("kc", F.concat("kc", F.lit("-"), (F.col("d") % SPARSE).cast("string")))
+    return stored(obs, "observations")
+
+
 @tracing(f"""WITH RECURSIVE {TURNS}, sparse AS (SELECT d, turn, pos, kc || '-' || d % {SPARSE} AS kc, correct, split FROM obs), st AS (SELECT kc FROM sparse WHERE split = 'train' GROUP BY kc HAVING min(correct) < max(correct)),
 train AS (SELECT * FROM sparse WHERE split = 'train' AND kc IN (SELECT kc FROM st)), base AS (SELECT avg(correct) AS b FROM sparse WHERE split = 'train'), {_fit_sql('train', ())}, held AS (SELECT * FROM sparse WHERE split = 'test' AND kc IN (SELECT kc FROM st)), {_predict_sql('held', ())},
 x AS (SELECT b * (1 - slips) + (1 - b) * guesses AS p FROM walk UNION ALL SELECT b FROM base, sparse WHERE split = 'test' AND kc NOT IN (SELECT kc FROM st))
@@ -177,7 +184,7 @@ SELECT count(*) AS n, (SELECT count(*) FROM walk) AS estimable, count(*) - (SELE
 def estimable_split(spark, sf_dir):
     """Test rows predicted by skills fitted on the whole train split; those of skills without both labels there, and those
     without a number as prediction, get the base rate. Each skill is told apart by dialogue number, so that many are sparse."""
-    obs = _obs(spark, sf_dir).withColumn("kc", F.concat("kc", F.lit("-"), (F.col("d") % SPARSE).cast("string")))
+    obs = _sparse(spark, sf_dir)
     train, test = obs.where("split = 'train'"), obs.where("split = 'test'")
     seqs = bkt.label_sequences(train.join(bkt.estimable(train), "kc", "left_semi"))
     rows = bkt.rescued(train, test, lambda known: bkt.predict(known, bkt.fit_filtered(seqs), margin=1e-6))
@@ -189,7 +196,7 @@ def estimable_split(spark, sf_dir):
 @tracing(None)
 def estimable_em_split(spark, sf_dir):
     """The same by fits with forward and backward pass and restarts: rows by source of their prediction."""
-    obs = _obs(spark, sf_dir).withColumn("kc", F.concat("kc", F.lit("-"), (F.col("d") % SPARSE).cast("string")))
+    obs = _sparse(spark, sf_dir)
     train, test = obs.where("split = 'train'"), obs.where("split = 'test'")
     rows = bkt.rescued(train, test, lambda known: bkt.predict(known, bkt.fit(bkt.label_sequences(train))))
     return rows.groupBy("fitted", "rescued").agg(F.count("*").alias("n"), F.round(F.avg("p"), 7).alias("mean_p"))
