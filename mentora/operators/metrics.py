@@ -33,18 +33,18 @@ def scores(turns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     AUC counts pairs by distinct score: rows are summed by score, running counts go over the scores of one of
     SCORE_BUCKETS equal parts of 0 to 1, and the parts' sums over the parts. NaN rows drop out, as do rows without label.
     """
-    rows = turns.where("correct is not null and not isnan(p)").withColumn("hard", F.bround("p", 0))
-    eps, y = 1e-12, F.col("correct")
-    p = F.least(F.greatest(F.col("p"), F.lit(eps)), F.lit(1 - eps))
-    by_score = rows.groupBy(*by, "p").agg(
-        F.count("*").alias("n"), F.sum(y).alias("pos"), F.sum((F.col("hard") == y).cast("int")).alias("hits"), F.sum(F.when((F.col("hard") == 1) & (y == 1), 1).otherwise(0)).alias("tp"), F.sum((F.col("hard") == 1).cast("int")).alias("said"),
-        F.sum(y * F.ln(p) + (1 - y) * F.ln(1 - p)).alias("ll"), F.sum((F.col("p") - y) * (F.col("p") - y)).alias("sq"),
-    ).withColumn("part", F.floor(F.col("p") * SCORE_BUCKETS))
+    # Rows with one score differ in their label alone, so all else follows from the counts of both.
+    by_score = turns.where("correct is not null and not isnan(p)").groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("correct").alias("pos")).withColumn("part", F.floor(F.col("p") * SCORE_BUCKETS))
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     misses = F.col("n") - F.col("pos")
     inside = by_score.withColumn("below", F.coalesce(F.sum(misses).over(before(*by, "part").orderBy("p")), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + misses / 2)).alias("wins")
-    parts = inside.groupBy(*by, "part").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "hits", "tp", "said", "ll", "sq")], wins)
+    eps, p, hard = 1e-12, F.col("p"), F.bround("p", 0)
+    kept = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    sums = {
+        "n": F.col("n"), "pos": F.col("pos"), "hits": F.when(hard == 1, F.col("pos")).when(hard == 0, misses).otherwise(0), "tp": F.when(hard == 1, F.col("pos")).otherwise(0), "said": F.when(hard == 1, F.col("n")).otherwise(0),
+        "ll": F.col("pos") * F.ln(kept) + misses * F.ln(1 - kept), "sq": F.col("pos") * (p - 1) * (p - 1) + misses * p * p, "wins": F.col("pos") * (F.col("below") + misses / 2),
+    }
+    parts = inside.groupBy(*by, "part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     # At most SCORE_BUCKETS + 1 rows a group.
     below = F.coalesce(F.sum(misses).over(before(*by).orderBy("part")), F.lit(0))
     total = parts.withColumn("wins", F.col("wins") + F.col("pos") * below).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "hits", "tp", "said", "ll", "sq", "wins")])
