@@ -76,7 +76,10 @@ def clusters_of(chosen: DataFrame, standards: DataFrame) -> DataFrame:
 
 
 def options_of(parents: DataFrame, standards: DataFrame) -> DataFrame:
-    """(d, options): sorted lines of all children of the standards ``parents`` (d, id), each parent once."""
+    """(d, options): sorted lines of all children of the standards ``parents`` (d, id), each parent once.
+
+    Lists are made once for each set of parents, not for each ``d``, which gets that of its set."""
     line = F.concat(F.lit("ID: "), F.col("c.id"), F.lit(", Description: "), F.col("c.description"))
-    rows = parents.distinct().alias("p").join(standards.alias("c"), F.col("p.id") == F.col("c.parent"))
-    return rows.groupBy("p.d").agg(F.array_sort(F.collect_list(line)).alias("options"))
+    sets = parents.groupBy("d").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    rows = sets.select("ids").distinct().select("ids", F.explode("ids").alias("id")).alias("p").join(standards.alias("c"), F.col("p.id") == F.col("c.parent"))
+    return sets.join(rows.groupBy("p.ids").agg(F.array_sort(F.collect_list(line)).alias("options")), "ids").drop("ids")

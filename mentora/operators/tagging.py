@@ -23,10 +23,13 @@ NAMES, BY_TURN, MARKS = "array<string>", "map<string,array<string>>", "map<strin
 
 
 def _level(dialogues: DataFrame, prompt: Column, ask: Ask, step: str, kind: str) -> DataFrame:
-    """(d, ``step``_prompt, ``step``_raw, ``step``): prompt, reply and its value, null if it isn't of the ``kind``."""
-    asked = ask(dialogues.select("d", prompt.alias("prompt")), step)
+    """(d, ``step``_prompt, ``step``_raw, ``step``): prompt, reply and its value, null if it isn't of the ``kind``.
+
+    Replies are written, prompts are not: with their lists of options they are long, and are made anew where they are read."""
+    prompts = dialogues.select("d", prompt.alias("prompt"))
     value = F.from_json(lm_json(F.col("response")), kind)
-    return stored(asked.select("d", F.col("prompt").alias(f"{step}_prompt"), F.col("response").alias(f"{step}_raw"), value.alias(step)), f"level-{step}")
+    replies = stored(ask(prompts, step).select("d", F.col("response").alias(f"{step}_raw"), value.alias(step)), f"level-{step}")
+    return prompts.withColumnRenamed("prompt", f"{step}_prompt").join(replies, "d")
 
 
 def tag_freely(dialogues: DataFrame, ask: Ask) -> DataFrame:

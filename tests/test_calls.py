@@ -116,6 +116,18 @@ def test_levels_fail_one_after_the_other(spark):
         tagging.annotate(dialogues, "other", ask)
 
 
+def test_prompts_are_not_written_with_replies(spark, monkeypatch):
+    written, stored = [], tagging.stored
+    monkeypatch.setattr(tagging, "stored", lambda df, name: written.extend(df.columns) or stored(df, name))
+    dialogues = spark.createDataFrame(DIALOGUES, "d int, turns array<int>, text string, last_turn int")
+    got = tagging.annotate(dialogues, "base", lambda rows, step: rows.withColumn("response", F.lit('result = {"turn 1": "true"}'))).collect()
+    assert not [c for c in written if "prompt" in c] and len(got) == 5 and all(r.correctness_prompt.startswith(r.text) for r in got)
+    parents = spark.createDataFrame([(1, "K.NBT"), (1, "K.G"), (1, "K.G"), (2, "K.G"), (2, "K.NBT"), (3, "none"), (4, None)], "d int, id string")
+    tree = spark.createDataFrame(TREE, "id string, description string, level string, parent string")
+    options = {r.d: r.options for r in N.options_of(parents, tree).collect()}
+    assert set(options) == {1, 2} and options[1] == options[2] == sorted(f"ID: {t[0]}, Description: {t[1]}" for t in TREE if t[3] in ("K.NBT", "K.G"))
+
+
 def test_free_tags_dictionary_and_files(spark):
     dialogues = spark.createDataFrame(DIALOGUES[:3], "d int, turns array<int>, text string, last_turn int")
     kcs = {0: '{"turn 1": ["é", "b"], "turn 2": ["a"]}', 1: '{"turn 1": [], "turn 2": ["c", "b"]}', 2: "?"}
