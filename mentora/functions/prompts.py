@@ -10,6 +10,7 @@ from mentora.functions.text import correct_to_str, skills_to_str, strip
 # Texts of the prompts.
 DESCRIPTIONS = {"comta": "the student is learning about math concepts."}
 LEVEL_NAMES = {"domain": "DOMAINS", "cluster": "MATH CONCEPTS/SKILLS", "standard": "STANDARDS"}
+BULLET = "\n- "
 PROBLEM_LINE = "The student is trying to solve the following problem:"
 NAMED_PROBLEM_LINE = ("The student, with the name ", ", is trying to solve the following problem:")
 TURN_PAIR = "A teacher and a student are having a dialogue about math concepts. Below is a single turn pair from that dialouge, where the student responds to the teacher. In addition, there are knowledge components that represent the learning objectives in the teacher's question. Finally, it is identified if the student's response to the teacher was correct or incorrect.\nTeacher: "
@@ -42,7 +43,7 @@ def annotation_prompt(dialogue: Column, last_turn: Column, context: Column | Non
 def level_prompt(dialogue: Column, level: str, options: Column, last_turn: Column, context: Column | None = None) -> Column:
     """Dialogue and bulleted options of a level: domain, cluster or standard; any other raises KeyError."""
     name, n = LEVEL_NAMES[level], last_turn.cast("string")
-    text = F.concat(dialogue, F.lit(f"\n\n[BEGIN {name}]\n- "), F.array_join(options, "\n- "), F.lit(f"\n[END {name}]"))
+    text = F.concat(dialogue, F.lit(f"\n\n[BEGIN {name}]{BULLET}"), F.array_join(options, BULLET), F.lit(f"\n[END {name}]"))
     if level == "standard":
         text = F.concat(text, F.lit("\n\nThere should be exactly "), n, F.lit(" turn"), F.when(last_turn > 1, "s").otherwise(""), F.lit(" in your final result."))
     return _with_context(context, text)

@@ -75,11 +75,22 @@ def clusters_of(chosen: DataFrame, standards: DataFrame) -> DataFrame:
     return chosen.join(ends, "category").where("dotted or parent = category").select("d", "id").distinct()
 
 
+def parent_sets(parents: DataFrame) -> DataFrame:
+    """(d, ids): the sorted set of ``parents`` (d, id) of each ``d``."""
+    return parents.groupBy("d").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def option_lists(sets: DataFrame, standards: DataFrame) -> DataFrame:
+    """(ids, options): sorted lines of all children of the standards in ``ids``, for each set of ``sets`` (d, ids) that has any."""
+    line = F.concat(F.lit("ID: "), F.col("id"), F.lit(", Description: "), F.col("description"))
+    children = standards.groupBy(F.col("parent").alias("id")).agg(F.collect_list(line).alias("lines"))
+    rows = sets.select("ids").distinct().select("ids", F.explode("ids").alias("id")).join(children, "id")
+    return rows.groupBy("ids").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("options"))
+
+
 def options_of(parents: DataFrame, standards: DataFrame) -> DataFrame:
     """(d, options): sorted lines of all children of the standards ``parents`` (d, id), each parent once.
 
     Lists are made once for each set of parents, not for each ``d``, which gets that of its set."""
-    line = F.concat(F.lit("ID: "), F.col("c.id"), F.lit(", Description: "), F.col("c.description"))
-    sets = parents.groupBy("d").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    rows = sets.select("ids").distinct().select("ids", F.explode("ids").alias("id")).alias("p").join(standards.alias("c"), F.col("p.id") == F.col("c.parent"))
-    return sets.join(rows.groupBy("p.ids").agg(F.array_sort(F.collect_list(line)).alias("options")), "ids").drop("ids")
+    sets = parent_sets(parents)
+    return sets.join(option_lists(sets, standards), "ids").drop("ids")

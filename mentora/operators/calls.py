@@ -21,6 +21,8 @@ ATTEMPTS = f"{CACHE}, error string, run string"
 TASK_PROMPTS = 500
 #: A provider gets a prompt and a system message (or None) and gives the answer, or raises.
 Provider = Callable[[str, str | None], str]
+#: Adds the column prompt to rows, next to what they have.
+Prompts = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
@@ -45,8 +47,8 @@ def _key(model: str, system: str | None, prompt: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(model), F.lit("null" if system is None else system), prompt), 256)
 
 
-def _answers(provider: Provider, system: str | None, batch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds response and error to rows with a prompt, ``batch`` calls of a task at a time."""
+def _answers(provider: Provider, system: str | None, batch: int, keep: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds response and error to rows with a prompt, ``batch`` calls of a task at a time; takes the prompt away unless ``keep``."""
 
     def one(prompt: str) -> tuple[str | None, str | None]:
         try:
@@ -60,6 +62,7 @@ def _answers(provider: Provider, system: str | None, batch: int) -> Callable[[It
                 for first in range(0, rows.num_rows, batch):
                     part = rows.slice(first, batch)
                     found = list(pool.map(one, part.column("prompt").to_pylist()))
+                    part = part if keep else part.drop_columns("prompt")
                     yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[i] for x in found], pa.string()) for i in (0, 1))], [*part.schema.names, "response", "error"])
 
     return run
@@ -79,7 +82,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return _attempts(spark, path).where("response is not null").drop("error", "run")
 
 
-def cached_calls(rows: DataFrame, provider: Provider, cache: str, model: str, system: str | None = None, batch: int = 10, wave: int = 100_000, tasks: int | None = None, strict: bool = True) -> Calls:
+def cached_calls(rows: DataFrame, provider: Provider, cache: str, model: str, system: str | None = None, batch: int = 10, wave: int = 100_000, tasks: int | None = None, strict: bool = True, by: str | None = None, prompts: Prompts | None = None) -> Calls:
     """``rows`` (prompt, ...) with a ``response`` for each non-null prompt.
 
     Only distinct prompts that the cache lacks for this model and system message are sent, each task with ``batch`` calls at
@@ -88,32 +91,68 @@ def cached_calls(rows: DataFrame, provider: Provider, cache: str, model: str, sy
     ``spark.sql.shuffle.partitions`` of them, but TASK_PROMPTS at least. With ``tasks``, no more than so many run at a time,
     and the prompts go in jobs of about ``wave``. At the end failures raise CallsFailed unless not ``strict``. A task that
     Spark repeats asks its prompts again. A null prompt gets no response.
+
+    ``by`` and ``prompts`` are for long prompts: a column without nulls that tells all rows apart, and what adds the prompt to
+    rows that lack it. Then prompts are neither shuffled nor written: they are made for their keys, and once more, of the
+    rows that are sent, in the tasks that send them. The cache has null in their place, and ``rows`` of the result lack them.
     """
     spark, run = rows.sparkSession, uuid.uuid4().hex
-    keyed = rows.withColumn("_key", _key(model, system, F.col("prompt")))
+    make = prompts or (lambda some: some)
+    keyed = make(rows).withColumn("_key", _key(model, system, F.col("prompt")))
     have = read_cache(spark, cache).where(F.col("model") == model)
-    distinct = keyed.where("prompt is not null").groupBy(F.col("_key").alias("key")).agg(F.min("prompt").alias("prompt"))
+    keys = keyed.where("prompt is not null")
+    keys = stored(keys.select("_key", by), "prompt-keys") if by else keys
+    distinct = keys.groupBy(F.col("_key").alias("key")).agg(F.min(by or "prompt").alias(by or "prompt"))
     wanted = stored(distinct.join(have.select("key"), "key", "left_anti"), "wanted-prompts")
     asked, slots = wanted.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     waves = max(1, -(-asked // wave)) if tasks else 1
     width = tasks or max(slots, -(-asked // max(TASK_PROMPTS, wave // slots)))
     for number in range(waves if asked else 0):
         part = wanted.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == number) if waves > 1 else wanted
-        found = part.repartition(width, "key").mapInArrow(_answers(provider, system, batch), "key string, prompt string, response string, error string")
-        named = found.select("key", F.lit(system).cast("string").alias("system"), "prompt", "response", "error", F.lit(run).alias("run"), F.lit(model).alias("model"))
+        if by:
+            sent = make(rows.join(part.withColumnRenamed("key", "_key"), by)).select(F.col("_key").alias("key"), "prompt")
+            sent = sent.coalesce(tasks) if tasks else sent
+        else:
+            sent = part.repartition(width, "key")
+        found = sent.mapInArrow(_answers(provider, system, batch, keep=not by), f"key string, {'' if by else 'prompt string, '}response string, error string")
+        prompt = F.lit(None).cast("string").alias("prompt") if by else F.col("prompt")
+        named = found.select("key", F.lit(system).cast("string").alias("system"), prompt, "response", "error", F.lit(run).alias("run"), F.lit(model).alias("model"))
         # Version 2 moves a task's file into the table when the task ends, not when all have ended.
         named.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("model").parquet(cache)
     own = _attempts(spark, cache).where((F.col("model") == model) & (F.col("run") == run))
     answered = own.where("response is not null").count() if asked else 0
-    failures = own.where("response is null").select("prompt", F.coalesce("error", F.lit("no response")).alias("error"))
+    failures = own.where("response is null").select("key", "prompt", F.coalesce("error", F.lit("no response")).alias("error"))
+    if by:
+        failures = make(rows.join(failures.join(wanted, "key").select(by, F.col("error").alias("_error")), by)).select("prompt", F.col("_error").alias("error"))
     # Runs that overlap may have asked the same.
     known = read_cache(spark, cache).where(F.col("model") == model).groupBy(F.col("key").alias("_key")).agg(F.min("response").alias("response"))
-    out = Calls(keyed.join(known, "_key", "left").drop("_key"), asked, answered, failures)
+    if by:
+        answers = rows.join(keys.join(known, "_key").select(by, "response"), by, "left").select(*rows.columns, "response")
+    else:
+        answers = keyed.join(known, "_key", "left").drop("_key")
+    out = Calls(answers, asked, answered, failures.select("prompt", "error"))
     if answered < asked and strict:
         raise CallsFailed(out)
     return out
 
 
+@dataclass
+class CachedAsk:
+    """Asks a provider about rows with an id d, through a cache table; the step is the system message."""
+
+    provider: Provider
+    cache: str
+    model: str
+
+    def __call__(self, rows: DataFrame, step: str) -> DataFrame:
+        """``rows`` (d, prompt) with a response."""
+        return cached_calls(rows, self.provider, self.cache, self.model, step).rows
+
+    def late(self, rows: DataFrame, prompts: Prompts, step: str) -> DataFrame:
+        """``rows`` (d, ...) with a response to the prompts that ``prompts`` adds to them."""
+        return cached_calls(rows, self.provider, self.cache, self.model, step, by="d", prompts=prompts).rows
+
+
 def uncached_calls(rows: DataFrame, provider: Provider, system: str | None = None, batch: int = 10, tasks: int | None = None) -> DataFrame:
     """``rows`` (prompt, ...) with response and error, one call for each row, equal prompts too: for sampled answers and
     prompts that continue a history. The answers are written once, so that later steps don't ask again."""

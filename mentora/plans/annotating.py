@@ -13,7 +13,7 @@ from mentora.operators import calls, tagging
 from mentora.operators import turns as U
 from mentora.plans.sql import SQL
 from mentora.sources import adapters as A
-from mentora.sources.files import dictionary_file, new_path, read_ids
+from mentora.sources.files import dictionary_file, new_path, read_ids, stored
 
 ANNOTATING: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANNOTATING_SQL: dict[str, str] = {}
@@ -46,22 +46,20 @@ def rule(prompt: str, step: str) -> str:
         result = {f"turn {i}": [f"skill {(n + i) % 5}", f"skill {n % 3 + 5}"][: (n + i) % 3] for i in turns}
     else:
         options = re.search(r"\[BEGIN [A-Z/ ]+\]\n- (.*)\n\[END [A-Z/ ]+\]", prompt, re.DOTALL).group(1).split("\n- ")
-        options = [x.split(": ", 1)[1].split(", Description: ", 1)[0] for x in options]
-        pick = lambda k: options[k % len(options)]
+        pick = lambda k: options[k % len(options)].split(": ", 1)[1].split(", Description: ", 1)[0]
         result = {f"turn {i}": [pick(n + i)] * ((n + i) % 4 > 0) for i in turns} if step == "standard" else list(dict.fromkeys([pick(n), pick(n // 3)]))
     return "So I choose:\n```json" + json.dumps({"result": result}) + "```"
 
 
 def rule_calls(spark: SparkSession) -> tagging.Ask:
     """The rule behind one cache table, as a model would be asked."""
-    cache = new_path(spark, "reply-cache")
-    return lambda rows, step: calls.cached_calls(rows, lambda prompt, system: rule(prompt, system), cache, "rule", step).rows
+    return calls.CachedAsk(lambda prompt, system: rule(prompt, system), new_path(spark, "reply-cache"), "rule")
 
 
 def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = U.coalesce_turns(A.utterances(spark, sf_dir))
     numbers = turns.groupBy("d").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return U.dialogue_texts(turns).join(numbers, "d")
+    return stored(U.dialogue_texts(turns).join(numbers, "d"), "dialogues")
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Cached calls, annotation by levels, arrays, examples and invariants on hard rows."""
 
 import os
+import re
 import time
 
 import pytest
@@ -76,6 +77,24 @@ def test_a_limit_of_tasks_asks_all_in_waves(spark):
     assert (done.asked, done.answered, done.failures.count(), done.rows.where("response is null").count()) == (40, 40, 0, 0)
 
 
+def test_long_prompts_are_asked_without_being_written(spark, monkeypatch):
+    written, stored = [], calls.stored
+    monkeypatch.setattr(calls, "stored", lambda df, name: written.extend(df.columns) or stored(df, name))
+    text = F.when(F.col("d") == 43, None).when(F.col("d") >= 40, F.concat(F.lit("bad "), (F.col("d") / 42).cast("int").cast("string"))).otherwise(F.concat(F.lit("p"), (F.col("d") % 7).cast("string")))
+    rows, cache, prompts = spark.range(45).select(F.col("id").alias("d"), F.lit(1).alias("x")), new_path(spark, "cache"), lambda some: some.withColumn("prompt", text)
+    first = calls.cached_calls(rows, flaky, cache, "m", "s", batch=2, strict=False, by="d", prompts=prompts)
+    assert (first.asked, first.answered) == (9, 7) and {tuple(r) for r in first.failures.collect()} == {("bad 0", "OSError: bad 0"), ("bad 1", "OSError: bad 1")}
+    assert not [c for c in written if "prompt" in c] and {(r.prompt, r.system) for r in calls.read_cache(spark, cache).collect()} == {(None, "s")}
+    with pytest.raises(calls.CallsFailed, match="2 of 2"):
+        calls.cached_calls(rows, flaky, cache, "m", "s", by="d", prompts=prompts)
+    # Keys are those of prompts that are written, too; in waves of few tasks as well.
+    again = calls.cached_calls(rows, lambda p, s: f"{s}:{p[::-1]}", cache, "m", "s", wave=1, tasks=2, by="d", prompts=prompts)
+    assert (again.asked, again.answered, again.failures.count(), again.rows.columns) == (2, 2, 0, ["d", "x", "response"])
+    assert calls.cached_calls(prompts(rows), flaky, cache, "m", "s").asked == 0
+    got = {r.d: r.response for r in again.rows.collect()}
+    assert len(got) == 45 and got[3] == "s:3p" and got[40] == got[41] == "s:0 dab" and got[42] == "s:1 dab" and got[43] is None
+
+
 def test_uncached_calls_ask_for_every_row(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bad")], "d int, prompt string")
     got = {r.d: (r.response, r.error) for r in calls.uncached_calls(rows, flaky, "s").collect()}
@@ -128,6 +147,33 @@ def test_prompts_are_not_written_with_replies(spark, monkeypatch):
     assert set(options) == {1, 2} and options[1] == options[2] == sorted(f"ID: {t[0]}, Description: {t[1]}" for t in TREE if t[3] in ("K.NBT", "K.G"))
 
 
+def test_lists_of_options_are_not_shuffled_by_dialogue(spark):
+    dialogues = spark.createDataFrame([(i, [1], f"[BEGIN DIALOGUE]\n{i}\n[END DIALOGUE]", 1) for i in range(300)], "d int, turns array<int>, text string, last_turn int").repartition(3)
+    groups, tree = spark.createDataFrame(GROUPS, "place int, name string, description string, categories array<string>"), spark.createDataFrame(TREE, "id string, description string, level string, parent string")
+    replies = {"domain": '["Number"]', "cluster": '["K.NBT.A"]', "standard": '{"turn 1": ["K.NBT.A.1"]}', "correctness": '{"turn 1": "true"}'}
+    seen, widths, threshold = {}, {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def ask(rows, step, prompts=lambda some: some):
+        wanted = spark.range(200).select(F.col("id").cast("int").alias("d")).repartition(2)
+        for df in (prompts(rows), prompts(rows.join(wanted, "d"))):
+            plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            seen.setdefault(step, []).extend(re.findall(r"Exchange\n(?:Input|Output) \[\d+\]: \[(.*)\]", plan))
+        widths[step] = prompts(rows).groupBy(F.spark_partition_id()).count().count()
+        return rows.withColumn("response", F.lit(f"result = {replies[step]}"))
+
+    ask.late = lambda rows, prompts, step: ask(rows, step, prompts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = tagging.annotate(dialogues, "atc", ask, groups, tree).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 300 and all(r.error is None and r.annotation["turn 1"].kcs == ["compose"] for r in got)
+    assert seen["standard"] and not [x for step in ("cluster", "standard") for x in seen[step] if "d#" in re.split("[ ,]", x)[0] and re.search(r"\b(options|prompt)#", x)]
+    assert widths["standard"] > 1  # All have the same list.
+
+
 def test_free_tags_dictionary_and_files(spark):
     dialogues = spark.createDataFrame(DIALOGUES[:3], "d int, turns array<int>, text string, last_turn int")
     kcs = {0: '{"turn 1": ["é", "b"], "turn 2": ["a"]}', 1: '{"turn 1": [], "turn 2": ["c", "b"]}', 2: "?"}
